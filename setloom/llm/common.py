@@ -66,7 +66,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def input_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of df's size: file sizes where it reads files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, mb: float = 16.0, least: int = 1) -> int:

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from .mixing import op10_mixing
 from .packing import op1_packing
 from .simhash import op4_simhash
+from .syncmers import op7_syncmers
+from .tokens import op9_tokens
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_packing": op1_packing,
     "op4_simhash": op4_simhash,
+    "op7_syncmers": op7_syncmers,
     "op8_toxicity": op8_toxicity,
+    "op9_tokens": op9_tokens,
     "op10_mixing": op10_mixing,
 }
 
