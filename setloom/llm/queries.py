@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .lattice import op2_lattice
 from .mixing import op10_mixing
 from .packing import op1_packing
 from .simhash import op4_simhash
@@ -13,6 +14,7 @@ from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_packing": op1_packing,
+    "op2_lattice": op2_lattice,
     "op4_simhash": op4_simhash,
     "op7_syncmers": op7_syncmers,
     "op8_toxicity": op8_toxicity,
