@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from .htmltext import op6_htmltext
 from .lattice import op2_lattice
 from .mixing import op10_mixing
 from .packing import op1_packing
@@ -16,6 +17,7 @@ QUERIES: dict[str, Callable] = {
     "op1_packing": op1_packing,
     "op2_lattice": op2_lattice,
     "op4_simhash": op4_simhash,
+    "op6_htmltext": op6_htmltext,
     "op7_syncmers": op7_syncmers,
     "op8_toxicity": op8_toxicity,
     "op9_tokens": op9_tokens,
