@@ -98,17 +98,17 @@ def op3_urls(spark, sf_dir: str) -> DataFrame:
 
 VALUES = ", ".join(f"(DATE '{d}', '{a}', '{k}', '{v}')" for d, a, k, v in ENTRIES)
 ORACLE = rf"""
-WITH entries(at, action, kind, value) AS (VALUES {VALUES}),
-days AS (SELECT kind, value, at, min(CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS up FROM entries GROUP BY kind, value, at),
-spans AS (SELECT *, lead(at) OVER (PARTITION BY kind, value ORDER BY at) AS until FROM days),
-active AS (SELECT kind, value, at, until FROM spans WHERE up = 1),
+WITH entries(since, action, kind, value) AS (VALUES {VALUES}),
+days AS (SELECT kind, value, since, min(CASE WHEN action = 'add' THEN 1 ELSE 0 END) AS up FROM entries GROUP BY kind, value, since),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY kind, value ORDER BY since) AS until FROM days),
+active AS (SELECT kind, value, since, until FROM spans WHERE up = 1),
 caps AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day,
     lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT c.page_id, c.url, strftime(c.day, '%Y-%m-%d') AS fetched, c.host, count(a.value) AS n_active,
   max_by(a.value, lpad(CAST(length(a.value) AS VARCHAR), 6, '0') || a.value) AS matched, count(a.value) > 0 AS blocked
-FROM caps c LEFT JOIN active a ON c.host <> '' AND c.day >= a.at AND (a.until IS NULL OR c.day < a.until)
+FROM caps c LEFT JOIN active a ON c.host <> '' AND c.day >= a.since AND (a.until IS NULL OR c.day < a.until)
   AND ((a.kind = 'domain' AND (c.host = a.value OR ends_with(c.host, '.' || a.value)))
     OR (a.kind = 'prefix' AND starts_with(c.host || c.path, a.value)))
 GROUP BY c.page_id, c.url, c.day, c.host
