@@ -136,6 +136,27 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
+def features(text: str) -> set[str]:
+    """A text's words, with a space behind, and their prefixes."""
+    words = set(words_of(text))
+    return {f"{w} " for w in words if len(w) > 2} | {w[:k] for w in words for k in STEMS if len(w) > k}
+
+
+def sign_of(text: str) -> int:
+    """The smallest hash of a text's words, which near copies share."""
+    return min((zlib.crc32(w.encode()) for w in set(words_of(text))), default=0)
+
+
+def signatures(texts: list[str], wanted: set[str]) -> dict[str, set[int]]:
+    out: dict[str, set[int]] = {}
+    for text in texts:
+        sign = None
+        for f in features(text) & wanted:
+            sign = sign_of(text) if sign is None else sign
+            out.setdefault(f, set()).add(sign)
+    return out
+
+
 def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
     """Words and word prefixes that mark toxic texts.
 
@@ -143,31 +164,22 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
     group of copies cannot vouch for a word of its own. First a greedy cover of the toxic texts by features that no clean
     text has (or hardly any), then all features whose lead over the base rate is beyond chance.
     """
-    pos: dict[str, set] = {}
-    neg: Counter = Counter()
     kept = {}
     for text, toxic in rows:
         kept[text or ""] = max(toxic, kept.get(text or "", 0))
-    texts = []
-    for text, toxic in sorted(kept.items()):
-        ws = set(words_of(text))
-        feats = {(w, True) for w in ws if len(w) > 2} | {(w[:k], False) for w in ws for k in STEMS if len(w) > k}
-        sign = min((zlib.crc32(w.encode()) for w in ws), default=0)
-        texts.append((feats, toxic, sign))
-    n_pos = len({s for _, t, s in texts if t})
-    n_neg = len({s for _, t, s in texts if not t})
-    if not n_pos or not n_neg:
+    bad = [t for t, toxic in sorted(kept.items()) if toxic]
+    fine = [t for t, toxic in sorted(kept.items()) if not toxic]
+    if not bad or not fine:
         return []
-    for feats, toxic, sign in texts:
-        if toxic:
-            for f in feats:
-                pos.setdefault(f, set()).add(sign)
-    seen: dict = {}
-    for feats, toxic, sign in texts:
-        if not toxic:
-            for f in feats:
-                if f in pos:
-                    seen.setdefault(f, set()).add(sign)
+    often = Counter(f for t in bad for f in features(t))
+    often = {f for f, n in often.items() if n > 1}
+    # most candidates go by one look at how many clean texts have them; signatures are gathered for the rest alone
+    clean = Counter(f for t in fine for f in features(t) if f in often)
+    shared = Counter(f for t in bad for f in features(t) if f in often)
+    often = {f for f in often if clean[f] <= max(2, 0.2 * shared[f])}
+    pos, seen = signatures(bad, often), signatures(fine, often)
+    signs = [{sign_of(t) for t in texts} for texts in (bad, fine)]
+    n_pos, n_neg = map(len, signs)
     neg = Counter({f: len(s) for f, s in seen.items()})
     rate = n_pos / (n_pos + n_neg)
 
@@ -181,22 +193,29 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
     good = [f for f in pos if pure(f)]
     cover = {f: set(pos[f]) for f in good}
     chosen: dict = {}
-    open_ = {s for _, t, s in texts if t}
-    order = sorted(good, key=lambda f: (-len(cover[f]), f[1], -len(f[0]), f[0]))
+    open_ = set(signs[0])
+    order = sorted(good, key=lambda f: (-len(cover[f]), f[-1] == " ", -len(f), f))
     while open_ and order:
-        order = sorted((f for f in order if cover[f] & open_), key=lambda f: (-len(cover[f] & open_), f[1], -len(f[0]), f[0]))[:4000]
+        order = sorted((f for f in order if cover[f] & open_), key=lambda f: (-len(cover[f] & open_), f[-1] == " ", -len(f), f))
         if not order or len(cover[order[0]] & open_) < max(2, 0.002 * n_pos):
             break
         chosen[order[0]] = weight(order[0])
         open_ -= cover[order[0]]
     # as many features as there are may each be pure by chance; ask for less than one such in a thousand
-    least = math.ceil(math.log(len(pos) * 1000) / -math.log(max(rate, 1e-6)) if rate < 1 else 10**9)
+    least = math.ceil(math.log(max(len(pos), 1) * 1000) / -math.log(max(rate, 1e-6)) if rate < 1 else 10**9)
     for f in good:
         if len(pos[f]) >= max(4, least):
             chosen[f] = weight(f)
+    # a prefix that nearly always goes on in one way is that longer prefix or word
+    for f in [f for f in chosen if f[-1] != " "]:
+        longer = [g for g in pos if g.startswith(f) and len(pos[g]) >= 0.98 * len(pos[f])]
+        best = max(longer, key=lambda g: (len(g), g))
+        if best != f:
+            del chosen[f]
+            chosen[best] = weight(best)
     # a longer feature under a chosen prefix adds nothing
-    prefixes = {s for s, whole in chosen if not whole}
-    out = [(s, whole, w) for (s, whole), w in chosen.items() if not any(s[:k] in prefixes for k in range(1, len(s) + whole))]
+    prefixes = {f for f in chosen if f[-1] != " "}
+    out = [(f.rstrip(), f[-1] == " ", w) for f, w in chosen.items() if not any(f[:k] in prefixes for k in range(1, len(f)))]
     return sorted(out)
 
 
@@ -238,11 +257,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, folds: int = 5, most: int
     wanted = spark.createDataFrame(list(known.items()), "doc_id long, toxic int")
     texts = pick(docs, doc_id="long", text="string")
     found = texts.join(F.broadcast(wanted), "doc_id")  # at most `most` rows of two numbers
-    return fit_rows(found)
-
-
-def fit_rows(found: DataFrame) -> list[tuple[str, int]]:
-    """Word sets are all that learning needs of a text, but events need its clauses: texts come cut to no length."""
     return [(r.text or "", r.toxic) for r in found.select("text", "toxic").toLocalIterator()]
 
 
