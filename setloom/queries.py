@@ -347,7 +347,7 @@ _REL = "G AS (SELECT o_custkey AS src, o_orderkey % 1500 AS dst FROM orders)"
 simple("khop_or", lambda t: relations.hops(frames.set_of(t.spark, [3]), frames.edges(t.orders.select("o_custkey", F.expr("o_orderkey % 1500").alias("d")), "o_custkey", "d"), 2), "SELECT 3::BIGINT AS id UNION SELECT dst FROM G WHERE src = 3 UNION SELECT b.dst FROM G a JOIN G b ON b.src = a.dst WHERE a.src = 3", _REL)
 simple("link_add", lambda t: relations.add_links(t.L, 5, t.T), "SELECT src, dst FROM L UNION ALL SELECT 5, id FROM T", L, T)
 simple("posting_counts", lambda t: relations.posting_counts(t.lineitem, "l_suppkey", "l_orderkey"), "SELECT l_suppkey AS key, count(DISTINCT l_orderkey) AS cnt FROM lineitem GROUP BY 1")
-simple("collection_at", lambda t: relations.lookup(t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("val")), t.spark.range(0, 2000, 50).select(F.col("id").alias("key"))), "SELECT p_partkey AS key, p_name AS val FROM part WHERE p_partkey % 50 = 0 AND p_partkey < 2000")
+simple("collection_at", lambda t: relations.lookup(t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("val")), t.spark.range(0, 200, 10).select(F.col("id").alias("key"))), "SELECT p_partkey AS key, p_name AS val FROM part WHERE p_partkey % 10 = 0 AND p_partkey < 200")
 simple("fx_style_inverse", lambda t: relations.inverse_matches(t.V, frames.vector(t.orders, "o_orderkey", F.expr("300 - o_custkey")), 400), "SELECT idx AS id FROM V JOIN orders ON o_orderkey = idx WHERE value >= 400 AND 300 - o_custkey <= -400", V)
 simple("fx_arbitrage", lambda t: analytics.arbitrage(frames.vector(t.part, "p_partkey", "p_retailprice"), frames.vector(t.part, "p_partkey", F.expr("1.0D / (p_size + 1)")), frames.vector(t.part, "p_partkey", F.expr("p_retailprice / (p_size + 2)")), 0.21).select("idx", F.round("ratio", 6).alias("ratio")), "SELECT p_partkey AS idx, round((p_size + 2.0) / (p_size + 1), 6) AS ratio FROM part WHERE (p_size + 2.0) / (p_size + 1) - 1 > 0.21")
 simple("asof_before", lambda t: relations.nearest_before(t.spark.range(0, 20000, 37), t.A), "SELECT range AS probe, max(id) AS found FROM range(0, 20000, 37) LEFT JOIN A ON id <= range GROUP BY 1", A)
