@@ -23,6 +23,8 @@ KEEP = 64
 BITS = 40
 #: Quantiles of doc_id that ranges start from; ranges between them are of equal width.
 QUANTILES = 256
+#: Ranges there are at most; beyond, ranges grow.
+MOST_RANGES = 50_000
 
 
 def bound(value: Column, use) -> Column:
@@ -65,13 +67,13 @@ def likeness(a: Column, b: Column, keep: int = KEEP) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(F.size(both) / F.size(union))
 
 
-def with_next(docs: DataFrame, mb: float = 16.0) -> DataFrame:
+def with_next(docs: DataFrame, mb: float = 2.0) -> DataFrame:
     """doc_id, text and more -> also next_<column> of the document that follows in descending doc_id; the last's is the first.
 
     Ranges of doc_id are windows of bounded size; each gets the head of the range below as one more row, so no row has to
     be looked up across ranges.
     """
-    n = spread(docs, mb)
+    n = min(spread(docs, mb), MOST_RANGES)
     ids = docs.select("doc_id").filter("doc_id IS NOT NULL")
     coarse = min(n, QUANTILES)
     cuts = ids.agg(F.percentile_approx("doc_id", [i / coarse for i in range(1, coarse)] or [0.5], 10000).alias("q"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).first()
