@@ -12,13 +12,14 @@ their text's hash; an empty table gives no shard and an empty result.
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
+from collections import ChainMap
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +32,14 @@ VOCABULARY = "byte_bpe_50k.json"
 LENGTH, BATCH = 1024, 64
 END = 0
 #: Pieces a worker remembers.
-MEMORY = 400_000
+MEMORY = 1_000_000
 #: Shards there are at most; beyond, shards grow.
 MOST_SHARDS = 20_000
 
-#: Texts of these characters alone are cut into pieces here just as the library cuts them.
-PLAIN = regex.compile(r"[\t\n\r\x20-\x7e -ɏͰ-ϿЀ-ӿ‐-‧‰-⁞]*")
+#: Texts of these characters alone are cut into pieces here, just as the library cuts them: letters, digits and the rest.
+LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
+PLAIN = re.compile(rf"[\t\n\r\x20-\x7e¡¢£§«»¿×÷‐-‧{LETTER}]*")
+PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s0-9{LETTER}]+|\s+(?!\S)|\s+")
 
 
 class Encoder:
@@ -45,29 +48,53 @@ class Encoder:
     def __init__(self, path: str, kind: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = regex.compile(public_tokenizers.PATTERN)
         self.kind = kind
         self.known: dict[str, bytes] = {}
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if not PLAIN.fullmatch(text) or "<|" in text:
-            return self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
-        found, known = self.pieces.findall(text), self.known
-        try:
-            return b"".join(map(known.__getitem__, found))
-        except KeyError:
-            pass
-        if len(known) > MEMORY:
-            known.clear()
-        new = list(set(found) - known.keys())
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = self.pack(got.ids)
-        return b"".join(map(known.__getitem__, found))
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        known, cut = self.known, []
+        for text in texts:
+            plain = text and "<|" not in text and PLAIN.fullmatch(text)
+            cut.append(PIECES.findall(text) if plain else None)
+        new = set().union(*[p for p in cut if p]).difference(known)
+        spaced = [p for p in new if p[0] == " " and not p.isspace()]
+        tight = [p for p in new if not p[0].isspace()]
+        own: dict[str, bytes] = {}
+        self.learn(own, spaced, "".join(spaced), 1)
+        self.learn(own, tight, "\n" + "\n".join(tight), 2)
+        for piece in new.difference(own):
+            own[piece] = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        if len(known) < MEMORY:  # frequent pieces come early
+            known.update(own)
+            find = known.__getitem__
+        else:
+            both = ChainMap(own, known)
+            find = both.__getitem__
+        out = []
+        for text, pieces in zip(texts, cut):
+            if pieces is not None:
+                out.append(b"".join(map(find, pieces)))
+            else:
+                out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b"")
+        return out
+
+    def learn(self, own: dict[str, bytes], new: list[str], joined: str, step: int) -> None:
+        """Encodes many pieces in one call: a space or a line's end before each keeps the library's cuts where they were.
+
+        Each step-th piece the library cuts is one of ours; should their number differ, nothing is learned here.
+        """
+        if not new:
+            return
+        got = self.tokenizer.encode(joined, add_special_tokens=False)
+        ids, of = np.array(got.ids, self.kind), np.array(got.word_ids)
+        edge = np.flatnonzero(np.diff(of, prepend=-1, append=-1)).tolist()
+        if len(edge) - 1 == step * len(new):
+            raw, width = ids.tobytes(), ids.itemsize
+            starts, ends = edge[step - 1 : -1 : step], edge[step::step]
+            own.update((p, raw[a * width : b * width]) for p, a, b in zip(new, starts, ends))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}
@@ -158,7 +185,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, length: i
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [own.encode(t.as_py()) + end for t in part.column(1)]
+                texts = [ids + end for ids in own.encode_all(part.column(1).to_pylist())]
                 shard = shard or Shard(folder, kind, length)
                 shard.add(part.column(0).to_pylist(), texts)
         if shard:
