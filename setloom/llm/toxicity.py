@@ -12,6 +12,7 @@ without training rows of both kinds only the seeds act; an empty table gives an
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 import zlib
@@ -27,6 +28,8 @@ from .common import crc, pick
 
 #: Most labelled training rows the classifier is fitted on: those of the smallest hashes of doc_id.
 MOST_ROWS = 20_000
+#: Share of toxic texts that a stem beyond the cover must be in.
+COMMON = 0.02
 #: Prefix lengths that may become a stem.
 STEMS = (4, 5, 6, 7)
 #: Fixed seed words of the grammar, lower case, in English, German, French and Spanish.
@@ -136,50 +139,66 @@ class Grammar:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, x))))
 
 
-def features(text: str) -> set[str]:
-    """A text's words, with a space behind, and their prefixes."""
-    words = set(words_of(text))
-    return {f"{w} " for w in words if len(w) > 2} | {w[:k] for w in words for k in STEMS if len(w) > k}
+def features(words: str) -> set[str]:
+    """Of a text's distinct words: the words, with a space behind, and their prefixes."""
+    out = set()
+    for w in words.split(" "):
+        n = len(w)
+        if n > 2:
+            out.add(f"{w} ")
+            for k in STEMS:
+                if n <= k:
+                    break
+                out.add(w[:k])
+    return out
 
 
 def sign_of(text: str) -> int:
-    """The smallest hash of a text's words, which near copies share."""
-    return min((zlib.crc32(w.encode()) for w in set(words_of(text))), default=0)
+    """The smallest hash of a text's runs of five words, which near copies share."""
+    words = text.lower().split()
+    return min((zlib.crc32(" ".join(words[i : i + 5]).encode("utf-8", "replace")) for i in range(max(1, len(words) - 4))), default=0)
 
 
-def signatures(texts: list[str], wanted: set[str]) -> dict[str, set[int]]:
+def signatures(words: list[str], signs: list[int], wanted: set[str]) -> dict[str, set[int]]:
     out: dict[str, set[int]] = {}
-    for text in texts:
-        sign = None
-        for f in features(text) & wanted:
-            sign = sign_of(text) if sign is None else sign
+    for own, sign in zip(words, signs):
+        for f in features(own) & wanted:
             out.setdefault(f, set()).add(sign)
     return out
 
 
+def unlike(feature: str, words: list[str], signs: list[int], most: int = 12) -> bool:
+    """Do texts with the feature differ in most of their words? Near copies share theirs by descent."""
+    stem = feature.strip()
+    having = {sign: own for own, sign in zip(words, signs) if stem in own and feature in features(own)}
+    picked = [having[k] for k in sorted(having)]
+    picked = [set(own.split(" ")) for own in picked[:: max(1, len(picked) // most)]]
+    pairs = sorted(len(a & b) / max(1, len(a | b)) for i, a in enumerate(picked) for b in picked[:i])
+    return bool(pairs) and pairs[len(pairs) // 2] <= 0.5
+
+
 def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
     """Words and word prefixes that mark toxic texts.
 
-    A feature counts once for each signature: the smallest hash of a text's words, which near copies share, so that a
-    group of copies cannot vouch for a word of its own. First a greedy cover of the toxic texts by features that no clean
-    text has (or hardly any), then all features whose lead over the base rate is beyond chance.
+    A feature counts once for each signature, which near copies mostly share, so that a group of copies cannot vouch for a
+    word of its own. First a greedy cover of the toxic texts by features that no clean text has (or hardly any), then all
+    features that are common among them and whose lead over the base rate is beyond chance.
     """
     kept = {}
     for text, toxic in rows:
         kept[text or ""] = max(toxic, kept.get(text or "", 0))
-    bad = [t for t, toxic in sorted(kept.items()) if toxic]
-    fine = [t for t, toxic in sorted(kept.items()) if not toxic]
-    if not bad or not fine:
+    kinds = [[t for t, toxic in sorted(kept.items()) if toxic == kind] for kind in (1, 0)]
+    if not all(kinds):
         return []
-    often = Counter(f for t in bad for f in features(t))
-    often = {f for f, n in often.items() if n > 1}
+    signs = [[sign_of(t) for t in texts] for texts in kinds]
+    bad, fine = [[" ".join(sorted(set(words_of(t)))) for t in texts] for texts in kinds]
+    shared = Counter(f for own in bad for f in features(own))
+    often = {f for f, n in shared.items() if n > 1}
     # most candidates go by one look at how many clean texts have them; signatures are gathered for the rest alone
-    clean = Counter(f for t in fine for f in features(t) if f in often)
-    shared = Counter(f for t in bad for f in features(t) if f in often)
+    clean = Counter(f for own in fine for f in features(own) & often)
     often = {f for f in often if clean[f] <= max(2, 0.2 * shared[f])}
-    pos, seen = signatures(bad, often), signatures(fine, often)
-    signs = [{sign_of(t) for t in texts} for texts in (bad, fine)]
-    n_pos, n_neg = map(len, signs)
+    pos, seen = signatures(bad, signs[0], often), signatures(fine, signs[1], often)
+    n_pos, n_neg = len(set(signs[0])), len(set(signs[1]))
     neg = Counter({f: len(s) for f, s in seen.items()})
     rate = n_pos / (n_pos + n_neg)
 
@@ -191,21 +210,26 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
         return p >= 2 and neg[f] <= 0.02 * p
 
     good = [f for f in pos if pure(f)]
-    cover = {f: set(pos[f]) for f in good}
     chosen: dict = {}
     open_ = set(signs[0])
-    order = sorted(good, key=lambda f: (-len(cover[f]), f[-1] == " ", -len(f), f))
-    while open_ and order:
-        order = sorted((f for f in order if cover[f] & open_), key=lambda f: (-len(cover[f] & open_), f[-1] == " ", -len(f), f))
-        if not order or len(cover[order[0]] & open_) < max(2, 0.002 * n_pos):
+    # a feature's gain only falls while the cover grows, so the best is known once its renewed gain still leads
+    heap = [(-len(pos[f]), f[-1] == " ", -len(f), f) for f in good]
+    heapq.heapify(heap)
+    while open_ and heap:
+        _, word, size, f = heap[0]
+        gain = len(pos[f] & open_)
+        if heap[0][0] != -gain:
+            heapq.heapreplace(heap, (-gain, word, size, f))
+            continue
+        if gain < max(2, 0.002 * n_pos):
             break
-        chosen[order[0]] = weight(order[0])
-        open_ -= cover[order[0]]
+        heapq.heappop(heap)
+        chosen[f] = weight(f)
+        open_ -= pos[f]
     # as many features as there are may each be pure by chance; ask for less than one such in a thousand
     least = math.ceil(math.log(max(len(pos), 1) * 1000) / -math.log(max(rate, 1e-6)) if rate < 1 else 10**9)
-    for f in good:
-        if len(pos[f]) >= max(4, least):
-            chosen[f] = weight(f)
+    beyond = {f for f in good if f not in chosen and len(pos[f]) >= max(4, least, COMMON * n_pos)}
+    chosen |= {f: weight(f) for f in beyond if unlike(f, bad, signs[0])}
     # a prefix that nearly always goes on in one way is that longer prefix or word
     for f in [f for f in chosen if f[-1] != " "]:
         longer = [g for g in pos if g.startswith(f) and len(pos[g]) >= 0.98 * len(pos[f])]
