@@ -122,6 +122,21 @@ def kleene(value: str | Column) -> Column:
     return F.when(v, 1).when(~v, -1).otherwise(0)
 
 
+def init_kleene(value: str | Column, known: str | Column) -> Column:
+    """A three-valued element from a value bit and a known bit: unknown unless known."""
+    return F.when(col(known), col(value))
+
+
+def set_kleene(current: str | Column, where: Column, code: int) -> Column:
+    """Element with -1, 0 or 1 assigned where the condition holds."""
+    return F.when(where, from_kleene(F.lit(code))).otherwise(col(current))
+
+
+def compare_octet(value: str | Column, k: int, x: int) -> Column:
+    """Byte k of a text against a number: -1, 0 or 1."""
+    return three_way(octet(value, k), F.lit(x))
+
+
 def from_kleene(code: str | Column) -> Column:
     c = col(code)
     return F.when(c > 0, F.lit(True)).when(c < 0, F.lit(False))

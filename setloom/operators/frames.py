@@ -66,7 +66,7 @@ def size_of(v: DataFrame) -> DataFrame:
 
 def extend(v: DataFrame, more: DataFrame) -> DataFrame:
     """Elements of `more` (pos, value; pos from 0) behind the last of v."""
-    return v.unionByName(more.crossJoin(F.broadcast(size_of(v))).select((F.col("size") + F.col("pos")).alias("idx"), "value"))
+    return v.unionByName(more.select((size_of(v).scalar() + F.col("pos")).alias("idx"), "value"))
 
 
 def push_back(v: DataFrame, *values) -> DataFrame:
@@ -81,6 +81,5 @@ def push_back_null(v: DataFrame, count: int) -> DataFrame:
 
 def push_ascending(v: DataFrame, more: DataFrame) -> DataFrame:
     """Rows (idx, value) behind v's last index; an index that does not ascend ends the query."""
-    late = more.crossJoin(F.broadcast(size_of(v)))
-    idx = F.when(F.col("idx") < F.col("size"), F.raise_error(F.lit("index does not ascend"))).otherwise(F.col("idx"))
-    return v.unionByName(late.select(idx.cast("long").alias("idx"), "value"))
+    idx = F.when(F.col("idx") < size_of(v).scalar(), F.raise_error(F.lit("index does not ascend"))).otherwise(F.col("idx"))
+    return v.unionByName(more.select(idx.cast("long").alias("idx"), "value"))

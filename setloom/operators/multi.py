@@ -18,8 +18,7 @@ def agg_and(sets: DataFrame, n_sets: int | None = None) -> DataFrame:
     hits = sets.distinct().groupBy("id").agg(F.count("*").alias("n"))
     if n_sets is not None:
         return hits.filter(F.col("n") == n_sets).select("id")
-    total = sets.agg(F.count_distinct("set_id").alias("all"))
-    return hits.crossJoin(F.broadcast(total)).filter("n = all").select("id")
+    return hits.filter(F.col("n") == sets.agg(F.count_distinct("set_id")).scalar()).select("id")
 
 
 def agg_and_sub(group0: list[DataFrame], group1: list[DataFrame]) -> DataFrame:

@@ -49,6 +49,13 @@ def go_to(a: DataFrame, pos: int) -> DataFrame:
     return a.filter(F.col("id") >= pos).orderBy("id")
 
 
+def visit(a: DataFrame, function, schema: str, left: int | None = None, right: int | None = None) -> DataFrame:
+    """A function over batches of members, of those in [left, right] if told: the surface for user code."""
+    if left is not None and right is not None:
+        a = a.filter(F.col("id").between(min(left, right), max(left, right)))
+    return a.mapInPandas(function, schema)
+
+
 def sample(a: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """Exactly n members, all if there are no more; the same for the same seed. A top-n, so no full sort."""
     return a.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(n)

@@ -120,6 +120,11 @@ def decompress(ranks_: DataFrame, source: DataFrame) -> DataFrame:
 compress_by_source = compress
 
 
+def as_vector(a: DataFrame) -> DataFrame:
+    """Members in order as a vector frame."""
+    return with_rank(a).select((F.col("rank") - 1).alias("idx"), F.col("id").alias("value"))
+
+
 def resolve(v: DataFrame) -> DataFrame:
     """(idx, addr) of assigned elements: their dense addresses from 0."""
     return with_rank(v.filter("value IS NOT NULL").select("idx"), "idx", "r").select("idx", (F.col("r") - 1).alias("addr"))

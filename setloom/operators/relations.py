@@ -52,6 +52,13 @@ def lookup(kv: DataFrame, keys: DataFrame) -> DataFrame:
     return found.select(key.alias("key"), "val")
 
 
+def equal_frames(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: do two frames of the same columns hold the same rows, each as often? Matrices and collections."""
+    columns = a.columns
+    both = a.withColumn("_side", F.lit(1)).unionByName(b.select(*columns).withColumn("_side", F.lit(-1)))
+    return both.groupBy(*columns).agg(F.sum("_side").alias("_n")).filter("_n <> 0").agg((F.count("*") == 0).alias("equal"))
+
+
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:
     """(idx, a, b) of two vectors' common indexes."""
     return a.select("idx", F.col("value").alias("a")).join(b.select("idx", F.col("value").alias("b")), "idx")

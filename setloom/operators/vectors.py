@@ -129,6 +129,11 @@ def increment(v: DataFrame, deltas: DataFrame) -> DataFrame:
     return both.select("idx", F.when(F.col("delta").isNull(), F.col("value")).otherwise(F.coalesce("value", F.lit(0)) + F.col("delta")).cast("long").alias("value"))
 
 
+def increment_not_null(v: DataFrame, by) -> DataFrame:
+    """Assigned elements plus a number."""
+    return v.withColumn("value", F.col("value") + F.lit(by))
+
+
 def paired(a: DataFrame, b: DataFrame) -> DataFrame:
     """(idx, a, b, in_a, in_b) over the indexes of both."""
     l, r = a.select("idx", F.col("value").alias("a"), F.lit(True).alias("in_a")), b.select("idx", F.col("value").alias("b"), F.lit(True).alias("in_b"))

@@ -56,6 +56,11 @@ def kmer_presence(docs: DataFrame, k: int, alphabet: str = "acgt", **where) -> D
     return grams.filter(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$")).select(code.alias("id")).distinct()
 
 
+def top_words(docs: DataFrame, k: int, n: int, **where) -> DataFrame:
+    """The n most frequent k-mers, ties by text: a top-n, not a full sort."""
+    return kmer_counts(docs, k, **where).orderBy(F.desc("cnt"), "kmer").limit(n)
+
+
 def kmer_histogram(docs: DataFrame, k: int, **where) -> DataFrame:
     """(cnt, kinds): how many k-mers occur so often."""
     return kmer_counts(docs, k, **where).groupBy("cnt").agg(F.count("*").alias("kinds"))

@@ -197,6 +197,7 @@ simple("select_many", lambda t: rank.select_many(t.A, t.spark.range(0, 9000, 50)
 simple("find_rank", lambda t: rank.find_rank(t.A, 10, 7000), "SELECT id FROM A WHERE id >= 7000 ORDER BY id LIMIT 1 OFFSET 9", A)
 simple("skip", lambda t: rank.skip(t.A, 4000), "SELECT id FROM R WHERE rank > 4000", A, R)
 simple("rank_range_split", lambda t: rank.range_split(t.A, 100), "SELECT coalesce(lag(stop) OVER (ORDER BY g) + 1, low) AS start, stop FROM (SELECT (rank - 1) // 100 AS g, min(id) AS low, max(id) AS stop FROM R GROUP BY 1)", A, R)
+simple("set_as_vector", lambda t: rank.as_vector(t.A), "SELECT rank - 1 AS idx, id AS value FROM R", A, R)
 simple("rank_compress", lambda t: rank.compress(t.T, t.A), "SELECT rank - 1 AS id FROM R WHERE id IN (SELECT id FROM T)", A, T, R)
 simple("rank_decompress", lambda t: rank.decompress(rank.compress(t.T, t.A), t.A), "SELECT id FROM A INTERSECT SELECT id FROM T", A, T)
 simple("resolve", lambda t: rank.resolve(t.V), "SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS addr FROM V WHERE value IS NOT NULL", V)
@@ -295,6 +296,7 @@ simple("unsigned_bits", lambda t: t.W.select("idx", fn.low_bits("value", 5).alia
 simple("signed_code", lambda t: t.W.select("idx", fn.signed_code("value").alias("code"), fn.signed_value(fn.signed_code("value")).alias("back")), f"SELECT idx, {CODE.format('value')} AS code, value AS back FROM W", W)
 simple("number_octet", lambda t: t.W.select("idx", fn.number_octet("value", 1).alias("octet")), f"SELECT idx, ({CODE.format('value')} >> 8) & 255 AS octet FROM W", W)
 simple("text_octet", lambda t: t.N.select("idx", fn.octet("value", 2).alias("octet")), "SELECT idx, CASE WHEN length(coalesce(value, '')) > 2 THEN ascii(substr(value, 3, 1)) ELSE 0 END AS octet FROM N", N)
+simple("compare_octet", lambda t: t.N.select("idx", fn.compare_octet("value", 0, 109).alias("cmp")), "SELECT idx, CASE WHEN coalesce(value, '') = '' THEN -1 ELSE CAST(sign(ascii(substr(value, 1, 1)) - 109) AS INTEGER) END AS cmp FROM N", N)
 simple("float_parts", lambda t: t.X.filter("value IS NOT NULL").select("idx", "value", fn.float_parts("value").alias("p")).select("idx", F.expr("cast((1 - 2 * p.sign) * pow(2D, p.exponent - 127) * (1 + p.mantissa / pow(2D, 23)) AS float) = value").alias("same")), "SELECT idx, TRUE AS same FROM X WHERE value IS NOT NULL", X)
 simple("substr_decode", lambda t: vectors.substring(t.N, 2, 5), "SELECT idx, substr(value, 3, 4) AS value FROM N", N)
 simple("rsc_load_from", lambda t: vectors.drop_nulls(t.V), "SELECT * FROM V WHERE value IS NOT NULL", V)
@@ -316,6 +318,7 @@ simple("vec_filter", lambda t: vectors.filter_mask(t.V, t.A), "SELECT idx, CASE
 simple("vec_erase_mask", lambda t: vectors.erase_mask(vectors.drop_nulls(t.V), t.A), "SELECT idx, value FROM V WHERE value IS NOT NULL AND idx NOT IN (SELECT id FROM A)", V, A)
 simple("vec_inc", lambda t: vectors.increment(t.V, t.events.select(F.col("user_id").alias("idx"), F.lit(1).alias("delta"))), "SELECT coalesce(V.idx, d.idx) AS idx, CASE WHEN n IS NULL THEN value ELSE coalesce(value, 0) + n END AS value FROM V FULL JOIN (SELECT user_id AS idx, count(*) AS n FROM events GROUP BY 1) d ON V.idx = d.idx", V)
 _OR = f"J AS (SELECT V.idx AS idx, V.value AS a, W.value AS b, coalesce({CODE.format('V.value')}, 0) | coalesce({CODE.format('W.value')}, 0) AS c FROM V JOIN W ON V.idx = W.idx)"
+simple("vec_inc_not_null", lambda t: vectors.increment_not_null(t.V, 5), "SELECT idx, value + 5 AS value FROM V", V)
 simple("vec_join_or", lambda t: vectors.join_or(t.V, t.W), f"SELECT idx, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN {DECODE.format('c')} END AS value FROM J", V, W, _OR)
 simple("vec_merge_not_null", lambda t: vectors.merge_not_null(t.V, t.W), f"SELECT idx, {DECODE.format('c')} AS value FROM J WHERE a IS NOT NULL AND b IS NOT NULL", V, W, _OR)
 simple("vec_merge_disjoint", lambda t: vectors.merge_disjoint(t.N.filter("idx < 1000"), t.N.filter("idx >= 900")), "SELECT idx, value FROM N", N)
@@ -336,6 +339,8 @@ simple("kleene_and", lambda t: _k3(t).select("idx", fn.kleene(fn.kleene_and("a",
 simple("kleene_or", lambda t: _k3(t).select("idx", fn.kleene(fn.kleene_or("a", "b")).alias("v")), f"SELECT idx, {_CASE.format('(a OR b)')} AS v FROM K", _K3)
 simple("kleene_not", lambda t: _k3(t).select("idx", fn.kleene(fn.kleene_not("a")).alias("v")), f"SELECT idx, {_CASE.format('(NOT a)')} AS v FROM K", _K3)
 simple("kleene_get", lambda t: _k3(t).select("idx", fn.kleene("a").alias("v"), fn.kleene(fn.from_kleene(fn.kleene("a"))).alias("back")), f"SELECT idx, {_CASE.format('a')} AS v, {_CASE.format('a')} AS back FROM K", _K3)
+simple("kleene_init", lambda t: _k3(t).select("idx", fn.kleene(fn.init_kleene(F.coalesce("a", F.lit(False)), F.col("b").isNotNull())).alias("v")), "SELECT idx, CASE WHEN b IS NULL THEN 0 WHEN a THEN 1 ELSE -1 END AS v FROM K", _K3)
+simple("kleene_set", lambda t: _k3(t).select("idx", fn.kleene(fn.set_kleene("a", F.col("idx") < 100, 1)).alias("v")), f"SELECT idx, CASE WHEN idx < 100 THEN 1 ELSE {_CASE.format('a')} END AS v FROM K", _K3)
 simple("kleene_codes", lambda t: _k3(t).select("idx", fn.code_and(fn.kleene("a"), fn.kleene("b")).alias("c_and"), fn.code_or(fn.kleene("a"), fn.kleene("b")).alias("c_or")), f"SELECT idx, {_CASE.format('(a AND b)')} AS c_and, {_CASE.format('(a OR b)')} AS c_or FROM K", _K3)
 
 # relations
@@ -352,6 +357,27 @@ simple("fx_style_inverse", lambda t: relations.inverse_matches(t.V, frames.vecto
 simple("fx_arbitrage", lambda t: analytics.arbitrage(frames.vector(t.part, "p_partkey", "p_retailprice"), frames.vector(t.part, "p_partkey", F.expr("1.0D / (p_size + 1)")), frames.vector(t.part, "p_partkey", F.expr("p_retailprice / (p_size + 2)")), 0.21).select("idx", F.round("ratio", 6).alias("ratio")), "SELECT p_partkey AS idx, round((p_size + 2.0) / (p_size + 1), 6) AS ratio FROM part WHERE (p_size + 2.0) / (p_size + 1) - 1 > 0.21")
 simple("asof_before", lambda t: relations.nearest_before(t.spark.range(0, 20000, 37), t.A), "SELECT range AS probe, max(id) AS found FROM range(0, 20000, 37) LEFT JOIN A ON id <= range GROUP BY 1", A)
 
+simple("matrix_equal", lambda t: relations.equal_frames(t.P, t.P.union(t.P.limit(0))), "SELECT TRUE AS equal")
+simple("collection_unequal", lambda t: relations.equal_frames(t.P, t.P.filter("id > 5")), "SELECT FALSE AS equal")
+
+
+def _doubled(frames_):
+    for frame in frames_:
+        yield frame.assign(id=frame["id"] * 2)
+
+
+simple("visit_members", lambda t: navigation.visit(t.A, _doubled, "id long"), "SELECT id * 2 AS id FROM A", A)
+simple("visit_range", lambda t: navigation.visit(t.A, _doubled, "id long", 900, 100), "SELECT id * 2 AS id FROM A WHERE id BETWEEN 100 AND 900", A)
+
+
+def _negated(frames_):
+    for frame in frames_:
+        yield frame.assign(value=-frame["value"].astype("Int64"))
+
+
+simple("visit_vector", lambda t: vectors.visit(t.V, _negated, "idx long, value long"), "SELECT idx, -value AS value FROM V", V)
+simple("visit_masked", lambda t: vectors.visit(t.V, _negated, "idx long, value long", t.A), "SELECT idx, -value AS value FROM V WHERE idx IN (SELECT id FROM A)", V, A)
+
 # packed sets
 simple("packed_count", lambda t: packed.packed_count(packed.pack(t.A)), "SELECT count(*) AS cnt FROM A", A)
 for _name, _op, _sql in (("and", packed.packed_and, "INTERSECT"), ("or", packed.packed_or, "UNION"), ("sub", packed.packed_sub, "EXCEPT")):
@@ -374,6 +400,7 @@ simple("kmer_counts", lambda t: analytics.kmer_counts(t.part, 3, **_part), "SELE
 simple("kmer_histogram", lambda t: analytics.kmer_histogram(t.part, 3, **_part), "SELECT cnt, count(*) AS kinds FROM H GROUP BY 1", _GRAM)
 simple("kmer_presence", lambda t: analytics.kmer_presence(t.part.withColumn("s", F.translate("p_name", "adegilnorst", "acgtacgtacg")), 3, text="s", key="p_partkey"), "SELECT DISTINCT CAST(instr('acgt', substr(k, 1, 1)) - 1 + 4 * (instr('acgt', substr(k, 2, 1)) - 1) + 16 * (instr('acgt', substr(k, 3, 1)) - 1) AS BIGINT) AS id FROM (SELECT substr(s, CAST(i AS INTEGER) + 1, 3) AS k FROM (SELECT translate(p_name, 'adegilnorst', 'acgtacgtacg') AS s FROM part), range(64) r(i) WHERE i + 3 <= length(s)) WHERE regexp_full_match(k, '[acgt]{3}')")
 simple("kmer_frequent", lambda t: ordering.cumulative_pick(analytics.kmer_counts(t.part, 3, **_part).withColumnRenamed("kmer", "value"), 20.0), "SELECT value, cnt, rn FROM (SELECT *, min(CASE WHEN cnt >= target - (rn - 1) THEN rn END) OVER () AS stop FROM (SELECT kmer AS value, cnt, row_number() OVER (ORDER BY cnt DESC, kmer) AS rn, CAST(floor(count(*) OVER () * 20.0 / 100) AS BIGINT) AS target FROM H WHERE cnt > 1) WHERE rn <= target) WHERE rn <= coalesce(stop, target)", _GRAM)
+simple("kmer_top", lambda t: analytics.top_words(t.part, 3, 20, **_part), "SELECT kmer, cnt FROM H ORDER BY cnt DESC, kmer LIMIT 20", _GRAM)
 simple("shift_and_words", lambda t: analytics.word_starts(t.part, "el", "p_name", "p_partkey"), "SELECT p_partkey, i AS start FROM part, range(64) r(i) WHERE substr(p_name, CAST(i AS INTEGER) + 1, 2) = 'el'")
 simple("range_index_search", lambda t: analytics.range_search(t.orders.select(F.col("o_orderpriority").alias("id_from"), F.col("o_orderkey").alias("start"), F.expr("o_custkey % 40").alias("len"), F.col("o_custkey").alias("id_to")), "5-LOW"), "SELECT o_orderkey AS start, o_orderkey + o_custkey % 40 AS stop, o_custkey AS id_to FROM orders WHERE o_orderpriority = '5-LOW'")
 simple("scroll_window", lambda t: analytics.scroll(t.V, 1000, 9999, 500), "SELECT (idx - 1000) // 500 AS page, count(value) AS cnt, CAST(sum(value) AS BIGINT) AS total FROM V WHERE idx BETWEEN 1000 AND 9999 GROUP BY 1", V)
