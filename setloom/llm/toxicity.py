@@ -1,6 +1,7 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Insult stems are learned from labelled training rows; seed lists give threats, targets, negations and reported speech.
+Insult stems are learned from labelled training rows; seed lists give threats, targets, negations and reported speech. A
+stem that ordinary words share by chance acts from the second of its words on.
 A text is scanned once by an automaton over all stems; each clause with a match goes through the composed transducers,
 which turn it into weighted events: a plain insult, one aimed at a target, one negated, one reported, a threat. The
 events' weights are fitted on the same rows, so a score is that of matched clauses, not of words alone.
@@ -28,6 +29,10 @@ from .common import crc, pick
 
 #: Most labelled training rows the classifier is fitted on: those of the smallest hashes of doc_id.
 MOST_ROWS = 20_000
+#: Clean texts a stem may be in, as a share of the toxic texts it is in; how much likelier it must be in a toxic text.
+MIXED, LEAD = 0.25, 25
+#: The same share for stems beyond the cover.
+PURE = 0.02
 #: Share of toxic texts that a stem beyond the cover must be in.
 COMMON = 0.02
 #: Prefix lengths that may become a stem.
@@ -49,33 +54,48 @@ def words_of(text: str) -> list[str]:
 
 
 class Grammar:
-    """Transducers over clauses, weighted: stems are (text, whole word or prefix, weight)."""
+    """Transducers over clauses, weighted: stems are (text, kind, weight); kinds: word, prefix, again.
 
-    def __init__(self, stems: list[tuple[str, bool, float]], weights: list[float] | None = None, bias: float = -4.0):
+    A stem of kind again is a prefix that is no insult until a text has two different words with it.
+    """
+
+    def __init__(self, stems: list[tuple[str, str, float]], weights: list[float] | None = None, bias: float = -4.0):
         self.stems, self.bias = stems, bias
         self.weights = weights or [1.0, 1.2, 0.6, 0.5, 3.0]
         self.scan = ahocorasick.Automaton()
         entries: dict[str, list] = {}
-        for stem, whole, weight in stems:
-            entries.setdefault(stem, []).append(("insult", whole, weight))
+        for stem, kind, weight in stems:
+            entries.setdefault(stem, []).append(("insult", kind, weight))
         for threat in THREATS:
-            entries.setdefault(threat, []).append(("threat", True, 1.0))
+            entries.setdefault(threat, []).append(("threat", "word", 1.0))
         for stem, kinds in entries.items():
             self.scan.add_word(stem, (len(stem), kinds))
         self.scan.make_automaton()
 
     def matches(self, low: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, kind, weight) of the longest match at each start; a match begins and, if whole, ends a word."""
+        """(start, end, event, weight) of the longest match at each start; a match begins and, if whole, ends a word."""
         best: dict[int, tuple[int, int, str, float]] = {}
+        shared: dict[str, list[tuple[int, int, str, float]]] = {}
         n = len(low)
         for last, (size, kinds) in self.scan.iter(low):
             start = last - size + 1
             if start and low[start - 1].isalpha():
                 continue
             ends = last + 1 == n or not low[last + 1].isalpha()
-            for kind, whole, weight in kinds:
-                if (ends or not whole) and (start not in best or best[start][1] <= last + 1):
-                    best[start] = (start, last + 1, kind, weight)
+            for event, kind, weight in kinds:
+                if kind == "again":
+                    shared.setdefault(low[start : last + 1], []).append((start, last + 1, event, weight))
+                elif (ends or kind == "prefix") and (start not in best or best[start][1] <= last + 1):
+                    best[start] = (start, last + 1, event, weight)
+        for found in shared.values():
+            words: set[str] = set()
+            for hit in found:
+                word = LETTERS.match(low, hit[0])
+                new = word is not None and word.group() not in words
+                if new:
+                    if words and hit[0] not in best:
+                        best[hit[0]] = hit
+                    words.add(word.group())
         return [best[k] for k in sorted(best)]
 
     def events(self, text: str | None) -> np.ndarray:
@@ -140,7 +160,7 @@ class Grammar:
 
 
 def features(words: str) -> set[str]:
-    """Of a text's distinct words: the words, with a space behind, and their prefixes."""
+    """Of a text's distinct words: the words, with a space behind, their prefixes, and with a plus those of two words."""
     out = set()
     for w in words.split(" "):
         n = len(w)
@@ -149,7 +169,11 @@ def features(words: str) -> set[str]:
             for k in STEMS:
                 if n <= k:
                     break
-                out.add(w[:k])
+                stem = w[:k]
+                if stem in out:
+                    out.add(f"{stem}+")
+                else:
+                    out.add(stem)
     return out
 
 
@@ -169,7 +193,7 @@ def signatures(words: list[str], signs: list[int], wanted: set[str]) -> dict[str
 
 def unlike(feature: str, words: list[str], signs: list[int], most: int = 12) -> bool:
     """Do texts with the feature differ in most of their words? Near copies share theirs by descent."""
-    stem = feature.strip()
+    stem = feature.strip(" +")
     having = {sign: own for own, sign in zip(words, signs) if stem in own and feature in features(own)}
     picked = [having[k] for k in sorted(having)]
     picked = [set(own.split(" ")) for own in picked[:: max(1, len(picked) // most)]]
@@ -177,12 +201,12 @@ def unlike(feature: str, words: list[str], signs: list[int], most: int = 12) ->
     return bool(pairs) and pairs[len(pairs) // 2] <= 0.5
 
 
-def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
+def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, str, float]]:
     """Words and word prefixes that mark toxic texts.
 
     A feature counts once for each signature, which near copies mostly share, so that a group of copies cannot vouch for a
-    word of its own. First a greedy cover of the toxic texts by features that no clean text has (or hardly any), then all
-    features that are common among them and whose lead over the base rate is beyond chance.
+    word of its own. First a greedy cover of the toxic texts by features that few clean texts have, then all features that
+    are common among them and whose lead over the base rate is beyond chance.
     """
     kept = {}
     for text, toxic in rows:
@@ -196,7 +220,7 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
     often = {f for f, n in shared.items() if n > 1}
     # most candidates go by one look at how many clean texts have them; signatures are gathered for the rest alone
     clean = Counter(f for own in fine for f in features(own) & often)
-    often = {f for f in often if clean[f] <= max(2, 0.2 * shared[f])}
+    often = {f for f in often if clean[f] <= max(2, 0.3 * shared[f])}
     pos, seen = signatures(bad, signs[0], often), signatures(fine, signs[1], often)
     n_pos, n_neg = len(set(signs[0])), len(set(signs[1]))
     neg = Counter({f: len(s) for f, s in seen.items()})
@@ -207,17 +231,17 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
 
     def pure(f) -> bool:
         p = len(pos[f])
-        return p >= 2 and neg[f] <= 0.02 * p
+        return p >= 2 and neg[f] <= MIXED * p and neg[f] * n_pos * LEAD <= p * n_neg
 
     good = [f for f in pos if pure(f)]
     chosen: dict = {}
     open_ = set(signs[0])
     # a feature's gain only falls while the cover grows, so the best is known once its renewed gain still leads
-    heap = [(-len(pos[f]), f[-1] == " ", -len(f), f) for f in good]
+    heap = [(2 * neg[f] - len(pos[f]), f[-1] == " ", -len(f), f) for f in good]
     heapq.heapify(heap)
     while open_ and heap:
         _, word, size, f = heap[0]
-        gain = len(pos[f] & open_)
+        gain = len(pos[f] & open_) - 2 * neg[f]
         if heap[0][0] != -gain:
             heapq.heapreplace(heap, (-gain, word, size, f))
             continue
@@ -228,18 +252,21 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, bool, float]]:
         open_ -= pos[f]
     # as many features as there are may each be pure by chance; ask for less than one such in a thousand
     least = math.ceil(math.log(max(len(pos), 1) * 1000) / -math.log(max(rate, 1e-6)) if rate < 1 else 10**9)
-    beyond = {f for f in good if f not in chosen and len(pos[f]) >= max(4, least, COMMON * n_pos)}
+    beyond = {f for f in good if f not in chosen and len(pos[f]) >= max(4, least, COMMON * n_pos) and neg[f] <= PURE * len(pos[f])}
     chosen |= {f: weight(f) for f in beyond if unlike(f, bad, signs[0])}
     # a prefix that nearly always goes on in one way is that longer prefix or word
     for f in [f for f in chosen if f[-1] != " "]:
-        longer = [g for g in pos if g.startswith(f) and len(pos[g]) >= 0.98 * len(pos[f])]
+        again = f[-1] == "+"
+        longer = [g for g in pos if (g[-1] == "+") == again and g.startswith(f.rstrip("+")) and len(pos[g]) >= 0.98 * len(pos[f]) and neg[g] <= neg[f]]
         best = max(longer, key=lambda g: (len(g), g))
         if best != f:
             del chosen[f]
             chosen[best] = weight(best)
-    # a longer feature under a chosen prefix adds nothing
-    prefixes = {f for f in chosen if f[-1] != " "}
-    out = [(f.rstrip(), f[-1] == " ", w) for f, w in chosen.items() if not any(f[:k] in prefixes for k in range(1, len(f)))]
+    # a longer feature under a chosen prefix that says as much adds nothing; one word of a shared stem says nothing
+    prefixes = {f: w for f, w in chosen.items() if f[-1] not in " +"}
+    prefixes |= {f[:-1]: 99.0 for f in chosen if f[-1] == "+"}
+    kinds_of = {" ": "word", "+": "again"}
+    out = [(f.rstrip(" +"), kinds_of.get(f[-1], "prefix"), w) for f, w in chosen.items() if not any(prefixes.get(f[:k], -9.0) >= w - 0.7 for k in range(1, len(f) - (f[-1] == "+")))]
     return sorted(out)
 
 

@@ -440,7 +440,7 @@ def test_toxicity(spark):
 
 
 def test_grammar_events():
-    g = toxicity.Grammar([("idiot", True, 1.0), ("blor", False, 1.0)])
+    g = toxicity.Grammar([("idiot", "word", 1.0), ("blor", "prefix", 1.0), ("gram", "again", 1.0)])
     of = lambda t: dict(zip(toxicity.EVENTS, g.events(t)))
     assert of("What an idiot! Fine.")["plain"] == 1
     assert of("you idiot")["aimed"] == 1 and of("idiot, you")["aimed"] == 1
@@ -448,6 +448,7 @@ def test_grammar_events():
     assert of("he said idiot twice")["reported"] == 1
     assert of("i will kill you")["threat"] == 1
     assert sum(of("idiotic but blorful").values()) == 1
+    assert sum(of("a gram, the gram.").values()) == 0 and sum(of("a gram and grammar. Grams").values()) == 2
     assert sum(of("subblor").values()) == 0 and sum(of(None).values()) == 0
 
 
