@@ -13,6 +13,11 @@ def col(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once; a plain column would be computed again for each element of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def signed_code(value: str | Column) -> Column:
     """Unsigned code of a signed number: 2 v for v >= 0, 2 (-v - 1) + 1 below."""
     v = col(value).cast("long")

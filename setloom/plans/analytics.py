@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import bound
 from ..operators.metrics import jaccard, pair_counts
 from ..operators.rank import range_split
 from ..operators.sets import ordered
@@ -37,11 +38,13 @@ def histogram_adaptive(a: DataFrame, per_bin: int) -> DataFrame:
 def kmers(docs: DataFrame, k: int, text: str | Column = "text", key: str = "doc_id") -> DataFrame:
     """(key, pos, kmer) of all substrings of k characters, by one split of each text into characters."""
     t = F.col(text) if isinstance(text, str) else text
-    chars = docs.select(key, F.split(F.coalesce(t, F.lit("")), "").alias("c"))
-    chars = chars.withColumn("c", F.filter("c", lambda x: x != ""))
-    n = F.size("c") - k
-    grams = F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice("c", i + 1, k), ""))).otherwise(F.array().cast("array<string>"))
-    return chars.select(key, F.posexplode(grams).alias("pos", "kmer"))
+
+    def grams(c: Column) -> Column:
+        n = F.size(c) - k
+        return F.when(n >= 0, F.transform(F.sequence(F.lit(0), n), lambda i: F.array_join(F.slice(c, i + 1, k), ""))).otherwise(F.array().cast("array<string>"))
+
+    chars = F.filter(F.split(F.coalesce(t, F.lit("")), ""), lambda x: x != "")
+    return docs.select(key, F.posexplode(bound(chars, grams)).alias("pos", "kmer"))
 
 
 def kmer_counts(docs: DataFrame, k: int, **where) -> DataFrame:

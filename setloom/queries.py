@@ -117,7 +117,7 @@ simple("set_xor", lambda t: sets.bit_xor(t.A, t.B), "(SELECT id FROM A EXCEPT SE
 simple("set_combine_operation", lambda t: sets.combine(t.A, t.T, "sub"), "SELECT id FROM A EXCEPT SELECT id FROM T", A, T)
 simple("set_or_and", lambda t: sets.bit_or_and(t.T, t.A, t.B), "SELECT id FROM T UNION (SELECT id FROM A INTERSECT SELECT id FROM B)", A, B, T)
 simple("set_merge", lambda t: sets.merge(t.A, t.T), "SELECT id FROM A UNION SELECT id FROM T", A, T)
-simple("set_invert", lambda t: sets.invert(t.A, 15000), "SELECT range AS id FROM range(15000) EXCEPT SELECT id FROM A", A)
+simple("set_invert", lambda t: sets.invert(t.A, 200000), "SELECT range AS id FROM range(200000) EXCEPT SELECT id FROM A", A)
 simple("set_import", lambda t: frames.as_set(t.orders, "o_custkey"), "SELECT DISTINCT o_custkey AS id FROM orders")
 simple("set_literal", lambda t: frames.set_of(t.spark, [5, 3, 3, 9, 65536]), "SELECT unnest([3, 5, 9, 65536])::BIGINT AS id")
 simple("set_checked", lambda t: frames.checked(t.A), "SELECT id FROM A", A)
@@ -136,12 +136,13 @@ simple("set_flip", lambda t: sets.flip(t.A, 1), "SELECT id FROM A WHERE id <> 1
 simple("set_inc_carry", lambda t: sets.increment(t.A, 1)[1], "SELECT count(*) > 0 AS carry FROM A WHERE id = 1", A)
 simple("set_resize", lambda t: sets.resize(t.A, 5000), "SELECT id FROM A WHERE id < 5000", A)
 simple("set_swap", lambda t: sets.swap(t.A, 1, 20000), "SELECT CASE WHEN id = 1 THEN 20000 WHEN id = 20000 THEN 1 ELSE id END AS id FROM A", A)
-simple("set_test", lambda t: sets.test(t.A, t.spark.range(100)), "SELECT range AS id, range IN (SELECT id FROM A) AS member FROM range(100)", A)
+_ids = lambda t: t.orders.select(F.col("o_orderkey").alias("id"))
+simple("set_test", lambda t: sets.test(t.A, _ids(t)), "SELECT o_orderkey AS id, o_orderkey IN (SELECT id FROM A) AS member FROM orders", A)
 simple("set_compare", lambda t: sets.compare(t.A, t.B), "SELECT CAST(CASE WHEN m IS NULL THEN 0 WHEN m IN (SELECT id FROM A) THEN 1 ELSE -1 END AS INTEGER) AS cmp FROM (SELECT min(id) AS m FROM ((SELECT id FROM A EXCEPT SELECT id FROM B) UNION (SELECT id FROM B EXCEPT SELECT id FROM A)))", A, B)
 simple("set_first_mismatch", lambda t: sets.first_mismatch(t.A, t.B), "SELECT min(id) AS first_mismatch FROM ((SELECT id FROM A EXCEPT SELECT id FROM B) UNION (SELECT id FROM B EXCEPT SELECT id FROM A))", A, B)
 simple("set_equal", lambda t: sets.equal(t.A, t.A), "SELECT TRUE AS equal")
-_SEQ = "S AS (SELECT o_custkey AS id FROM orders WHERE o_orderkey < 4000)"
-_seq = lambda t: t.orders.filter("o_orderkey < 4000").select(F.col("o_custkey").alias("id"))
+_SEQ = "S AS (SELECT o_custkey AS id FROM orders)"
+_seq = lambda t: t.orders.select(F.col("o_custkey").alias("id"))
 simple("seq_or", lambda t: sets.combine_or(t.A, _seq(t)), "SELECT id FROM A UNION SELECT id FROM S", A, _SEQ)
 simple("seq_xor_toggle", lambda t: sets.combine_xor(t.A, _seq(t)), "SELECT id FROM (SELECT id FROM A UNION ALL SELECT id FROM S) GROUP BY id HAVING count(*) % 2 = 1", A, _SEQ)
 simple("seq_sub", lambda t: sets.combine_sub(t.A, _seq(t)), "SELECT id FROM A EXCEPT SELECT id FROM S", A, _SEQ)
@@ -181,7 +182,7 @@ simple("jaccard_pairs", lambda t: metrics.jaccard_batch(t.C).withColumn("similar
 simple("and_matrix", lambda t: metrics.and_matrix(t.C), "SELECT s1, s2, cnt_and AS cnt FROM J UNION ALL SELECT set_id, set_id, n FROM M", C, _PAIR)
 _SEG = "G AS (SELECT DISTINCT c_nationkey AS set_id, c_custkey % 97 AS id FROM customer)"
 simple("cluster_leaders", lambda t: analytics.cluster_leaders(frames.collection(t.customer, "c_nationkey", F.expr("c_custkey % 97")), 0.33), None)
-simple("histogram_fixed", lambda t: analytics.histogram_fixed(t.A, 700, 15000), "SELECT range AS bin, count(id) AS cnt FROM range(22) LEFT JOIN A ON id // 700 = range AND id < 15000 GROUP BY range", A)
+simple("histogram_fixed", lambda t: analytics.histogram_fixed(t.A, 700, 200000), "SELECT range AS bin, count(id) AS cnt FROM range(286) LEFT JOIN A ON id // 700 = range AND id < 200000 GROUP BY range", A)
 simple("histogram_adaptive", lambda t: analytics.histogram_adaptive(t.A, 500), "SELECT coalesce(lag(stop) OVER (ORDER BY g) + 1, low) AS start, stop FROM (SELECT (rank - 1) // 500 AS g, min(id) AS low, max(id) AS stop FROM R GROUP BY 1)", A, R)
 simple("value_counts", lambda t: metrics.value_counts(t.V), "SELECT value, count(*) AS cnt FROM V WHERE value IS NOT NULL GROUP BY value", V)
 simple("count_notnull", lambda t: metrics.count_notnull(t.V, 100, 900), "SELECT count(value) AS cnt FROM V WHERE idx BETWEEN 100 AND 900", V)
@@ -190,10 +191,10 @@ simple("count_notnull", lambda t: metrics.count_notnull(t.V, 100, 900), "SELECT
 simple("rank_index", lambda t: rank.rank_index(t.A.select((F.col("id") * 64).alias("id"))), "SELECT block, cnt, CAST(sum(cnt) OVER (ORDER BY block) AS BIGINT) AS upto FROM (SELECT (id * 64) // 65536 AS block, count(*) AS cnt FROM A GROUP BY 1)", A)
 simple("count_to", lambda t: rank.count_to(t.A, 5000), "SELECT count(*) AS rank FROM A WHERE id <= 5000", A)
 simple("rank", lambda t: rank.with_rank(t.A), "SELECT * FROM R", A, R)
-_PROBES = "O AS (SELECT DISTINCT l_orderkey * 7 AS probe FROM lineitem), Y AS (SELECT probe, (SELECT count(*) FROM A) AS n FROM O)"
-simple("rank_probes", lambda t: rank.ranks(t.A, t.spark.range(0, 20000, 37)), "SELECT p.range AS probe, count(*) FILTER (id <= p.range) AS rank, coalesce(bool_or(id = p.range), FALSE) AS member, count(*) FILTER (id < p.range) AS corrected, CASE WHEN bool_or(id = p.range) THEN count(*) FILTER (id <= p.range) ELSE 0 END AS rank_test FROM range(0, 20000, 37) p CROSS JOIN A GROUP BY 1", A)
+_LINE = "Y AS (SELECT o_orderkey AS probe, A.id AS hit, count(A.id) OVER (ORDER BY o_orderkey) AS n FROM orders LEFT JOIN A ON A.id = o_orderkey)"
+simple("rank_probes", lambda t: rank.ranks(t.A, _ids(t)), "SELECT probe, n AS rank, hit IS NOT NULL AS member, CASE WHEN hit IS NULL THEN n ELSE n - 1 END AS corrected, CASE WHEN hit IS NULL THEN 0 ELSE n END AS rank_test FROM Y", A, _LINE)
 simple("select", lambda t: rank.select(t.A, 1234), "SELECT id FROM R WHERE rank = 1234", A, R)
-simple("select_many", lambda t: rank.select_many(t.A, t.spark.range(0, 9000, 50).select(F.col("id").alias("rank"))), "SELECT rank, id FROM R WHERE rank % 50 = 0 AND rank < 9000", A, R)
+simple("select_many", lambda t: rank.select_many(t.A, _ids(t).withColumnRenamed("id", "rank")), "SELECT rank, id FROM R WHERE rank IN (SELECT o_orderkey FROM orders)", A, R)
 simple("find_rank", lambda t: rank.find_rank(t.A, 10, 7000), "SELECT id FROM A WHERE id >= 7000 ORDER BY id LIMIT 1 OFFSET 9", A)
 simple("skip", lambda t: rank.skip(t.A, 4000), "SELECT id FROM R WHERE rank > 4000", A, R)
 simple("rank_range_split", lambda t: rank.range_split(t.A, 100), "SELECT coalesce(lag(stop) OVER (ORDER BY g) + 1, low) AS start, stop FROM (SELECT (rank - 1) // 100 AS g, min(id) AS low, max(id) AS stop FROM R GROUP BY 1)", A, R)
@@ -238,9 +239,9 @@ simple("intervals", lambda t: intervals.islands(t.A), "SELECT * FROM I", A, I)
 simple("interval_count", lambda t: metrics.count_intervals(t.A), "SELECT 2 * (SELECT count(*) FROM I) + 1 - (SELECT count(*) FROM A WHERE id = 0) AS intervals", A, I)
 simple("interval_goto", lambda t: intervals.go_to(t.A, 7001, extend=False), "SELECT greatest(start, 7001) AS start, stop FROM I WHERE stop >= 7001 ORDER BY start LIMIT 1", A, I)
 simple("is_interval", lambda t: intervals.is_interval(t.A, 1, 1), "SELECT count(*) > 0 AS is_interval FROM I WHERE start = 1 AND stop = 1", A, I)
-simple("interval_start_end", lambda t: intervals.around_many(t.A, t.spark.range(0, 15000, 11)), "SELECT range AS probe, start, stop FROM range(0, 15000, 11) JOIN I ON range BETWEEN start AND stop", A, I)
+simple("interval_start_end", lambda t: intervals.around_many(t.A, _ids(t)), "SELECT o_orderkey AS probe, start, stop FROM orders JOIN I ON o_orderkey BETWEEN start AND stop", A, I)
 simple("interval_expand", lambda t: intervals.expand(intervals.islands(t.A)), "SELECT id FROM A", A)
-_runs = lambda t: t.orders.filter("o_custkey < 50").select("o_custkey", F.col("o_orderkey").alias("ord"), F.expr("o_orderkey % 1000").alias("start"), F.expr("o_orderkey % 1000 + o_custkey % 90 + 10").alias("stop"))
+_runs = lambda t: t.orders.select("o_custkey", F.col("o_orderkey").alias("ord"), F.expr("o_orderkey % 1000").alias("start"), F.expr("o_orderkey % 1000 + o_custkey % 90 + 10").alias("stop"))
 simple("interval_layout", lambda t: intervals.lay_out(_runs(t), "o_custkey"), None)
 _LAY = "Y AS (SELECT o_orderkey % 9 AS plane, o_orderkey AS start, o_orderkey + o_custkey % 40 AS stop FROM orders), E AS (SELECT * FROM Y WHERE start <= 7100 AND stop >= 7090)"
 simple("interval_splice", lambda t: intervals.splice(t.orders.select(F.expr("o_orderkey % 9").alias("plane"), F.col("o_orderkey").alias("start"), F.expr("o_orderkey + o_custkey % 40").alias("stop")), 7090, 7100), "SELECT dense_rank() OVER (ORDER BY plane) - 1 AS plane, start, stop FROM E", _LAY)
@@ -300,7 +301,7 @@ simple("compare_octet", lambda t: t.N.select("idx", fn.compare_octet("value", 0,
 simple("float_parts", lambda t: t.X.filter("value IS NOT NULL").select("idx", "value", fn.float_parts("value").alias("p")).select("idx", F.expr("cast((1 - 2 * p.sign) * pow(2D, p.exponent - 127) * (1 + p.mantissa / pow(2D, 23)) AS float) = value").alias("same")), "SELECT idx, TRUE AS same FROM X WHERE value IS NOT NULL", X)
 simple("substr_decode", lambda t: vectors.substring(t.N, 2, 5), "SELECT idx, substr(value, 3, 4) AS value FROM N", N)
 simple("rsc_load_from", lambda t: vectors.drop_nulls(t.V), "SELECT * FROM V WHERE value IS NOT NULL", V)
-simple("rsc_load_to", lambda t: vectors.fill_nulls(vectors.drop_nulls(t.V), 16000), "SELECT range AS idx, value FROM range(16000) LEFT JOIN V ON range = idx", V)
+simple("rsc_load_to", lambda t: vectors.fill_nulls(vectors.drop_nulls(t.V), 200000), "SELECT range AS idx, value FROM range(200000) LEFT JOIN V ON range = idx", V)
 simple("super_block_sizes", lambda t: vectors.super_block_arrays(t.A).select("block", F.size("ids").cast("long").alias("cnt"), F.element_at("ids", -1).alias("last")), "SELECT id // 16777216 AS block, count(*) AS cnt, max(id) AS last FROM A GROUP BY 1", A)
 
 # rewriting
@@ -322,8 +323,10 @@ simple("vec_inc_not_null", lambda t: vectors.increment_not_null(t.V, 5), "SELECT
 simple("vec_join_or", lambda t: vectors.join_or(t.V, t.W), f"SELECT idx, CASE WHEN a IS NOT NULL OR b IS NOT NULL THEN {DECODE.format('c')} END AS value FROM J", V, W, _OR)
 simple("vec_merge_not_null", lambda t: vectors.merge_not_null(t.V, t.W), f"SELECT idx, {DECODE.format('c')} AS value FROM J WHERE a IS NOT NULL AND b IS NOT NULL", V, W, _OR)
 simple("vec_merge_disjoint", lambda t: vectors.merge_disjoint(t.N.filter("idx < 1000"), t.N.filter("idx >= 900")), "SELECT idx, value FROM N", N)
-simple("vec_mismatch_use_null", lambda t: vectors.mismatch(t.V, t.W.filter("idx < 14000")), "SELECT V.idx AS id FROM V LEFT JOIN W ON V.idx = W.idx AND W.idx < 14000 WHERE W.idx IS NULL OR V.value IS DISTINCT FROM W.value", V, W)
-simple("vec_mismatch_no_null", lambda t: vectors.mismatch(t.V, t.W.filter("idx < 14000"), use_null=False), "SELECT V.idx AS id FROM V LEFT JOIN W ON V.idx = W.idx AND W.idx < 14000 WHERE (V.value IS NOT NULL OR W.value IS NOT NULL) AND (W.idx IS NULL OR V.value IS DISTINCT FROM W.value)", V, W)
+_SHORT = "W2 AS (SELECT idx - 1 AS idx, value FROM W WHERE idx > 0)"
+_short = lambda t: position.erase_element(t.W, 0)
+simple("vec_mismatch_use_null", lambda t: vectors.mismatch(t.V, _short(t)), "SELECT V.idx AS id FROM V LEFT JOIN W2 ON V.idx = W2.idx WHERE W2.idx IS NULL OR V.value IS DISTINCT FROM W2.value", V, W, _SHORT)
+simple("vec_mismatch_no_null", lambda t: vectors.mismatch(t.V, _short(t), use_null=False), "SELECT V.idx AS id FROM V LEFT JOIN W2 ON V.idx = W2.idx WHERE (V.value IS NOT NULL OR W2.value IS NOT NULL) AND (W2.idx IS NULL OR V.value IS DISTINCT FROM W2.value)", V, W, _SHORT)
 simple("vec_first_mismatch", lambda t: vectors.first_mismatch(t.V, t.W), "SELECT min(V.idx) AS first_mismatch FROM V JOIN W ON V.idx = W.idx WHERE V.value IS DISTINCT FROM W.value", V, W)
 simple("vec_equal", lambda t: vectors.equal(t.V, t.V), "SELECT TRUE AS equal")
 simple("clip_high", lambda t: t.V.select("idx", fn.clip_high("value", 6).alias("value")), "SELECT idx, CASE WHEN value >> 7 <> 0 THEN 127 ELSE value END AS value FROM V", V)
@@ -352,10 +355,10 @@ _REL = "G AS (SELECT o_custkey AS src, o_orderkey % 1500 AS dst FROM orders)"
 simple("khop_or", lambda t: relations.hops(frames.set_of(t.spark, [3]), frames.edges(t.orders.select("o_custkey", F.expr("o_orderkey % 1500").alias("d")), "o_custkey", "d"), 2), "SELECT 3::BIGINT AS id UNION SELECT dst FROM G WHERE src = 3 UNION SELECT b.dst FROM G a JOIN G b ON b.src = a.dst WHERE a.src = 3", _REL)
 simple("link_add", lambda t: relations.add_links(t.L, 5, t.T), "SELECT src, dst FROM L UNION ALL SELECT 5, id FROM T", L, T)
 simple("posting_counts", lambda t: relations.posting_counts(t.lineitem, "l_suppkey", "l_orderkey"), "SELECT l_suppkey AS key, count(DISTINCT l_orderkey) AS cnt FROM lineitem GROUP BY 1")
-simple("collection_at", lambda t: relations.lookup(t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("val")), t.spark.range(0, 200, 10).select(F.col("id").alias("key"))), "SELECT p_partkey AS key, p_name AS val FROM part WHERE p_partkey % 10 = 0 AND p_partkey < 200")
+simple("collection_at", lambda t: relations.lookup(t.part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("val")), t.lineitem.select(F.col("l_partkey").alias("key")).distinct()), "SELECT p_partkey AS key, p_name AS val FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem)")
 simple("fx_style_inverse", lambda t: relations.inverse_matches(t.V, frames.vector(t.orders, "o_orderkey", F.expr("300 - o_custkey")), 400), "SELECT idx AS id FROM V JOIN orders ON o_orderkey = idx WHERE value >= 400 AND 300 - o_custkey <= -400", V)
 simple("fx_arbitrage", lambda t: analytics.arbitrage(frames.vector(t.part, "p_partkey", "p_retailprice"), frames.vector(t.part, "p_partkey", F.expr("1.0D / (p_size + 1)")), frames.vector(t.part, "p_partkey", F.expr("p_retailprice / (p_size + 2)")), 0.21).select("idx", F.round("ratio", 6).alias("ratio")), "SELECT p_partkey AS idx, round((p_size + 2.0) / (p_size + 1), 6) AS ratio FROM part WHERE (p_size + 2.0) / (p_size + 1) - 1 > 0.21")
-simple("asof_before", lambda t: relations.nearest_before(t.spark.range(0, 20000, 37), t.A), "SELECT range AS probe, max(id) AS found FROM range(0, 20000, 37) LEFT JOIN A ON id <= range GROUP BY 1", A)
+simple("asof_before", lambda t: relations.nearest_before(_ids(t), t.A), "SELECT probe, max(hit) OVER (ORDER BY probe) AS found FROM Y", A, _LINE)
 
 simple("matrix_equal", lambda t: relations.equal_frames(t.P, t.P.union(t.P.limit(0))), "SELECT TRUE AS equal")
 simple("collection_unequal", lambda t: relations.equal_frames(t.P, t.P.filter("id > 5")), "SELECT FALSE AS equal")
@@ -401,6 +404,13 @@ simple("kmer_histogram", lambda t: analytics.kmer_histogram(t.part, 3, **_part),
 simple("kmer_presence", lambda t: analytics.kmer_presence(t.part.withColumn("s", F.translate("p_name", "adegilnorst", "acgtacgtacg")), 3, text="s", key="p_partkey"), "SELECT DISTINCT CAST(instr('acgt', substr(k, 1, 1)) - 1 + 4 * (instr('acgt', substr(k, 2, 1)) - 1) + 16 * (instr('acgt', substr(k, 3, 1)) - 1) AS BIGINT) AS id FROM (SELECT substr(s, CAST(i AS INTEGER) + 1, 3) AS k FROM (SELECT translate(p_name, 'adegilnorst', 'acgtacgtacg') AS s FROM part), range(64) r(i) WHERE i + 3 <= length(s)) WHERE regexp_full_match(k, '[acgt]{3}')")
 simple("kmer_frequent", lambda t: ordering.cumulative_pick(analytics.kmer_counts(t.part, 3, **_part).withColumnRenamed("kmer", "value"), 20.0), "SELECT value, cnt, rn FROM (SELECT *, min(CASE WHEN cnt >= target - (rn - 1) THEN rn END) OVER () AS stop FROM (SELECT kmer AS value, cnt, row_number() OVER (ORDER BY cnt DESC, kmer) AS rn, CAST(floor(count(*) OVER () * 20.0 / 100) AS BIGINT) AS target FROM H WHERE cnt > 1) WHERE rn <= target) WHERE rn <= coalesce(stop, target)", _GRAM)
 simple("kmer_top", lambda t: analytics.top_words(t.part, 3, 20, **_part), "SELECT kmer, cnt FROM H ORDER BY cnt DESC, kmer LIMIT 20", _GRAM)
-simple("shift_and_words", lambda t: analytics.word_starts(t.part, "el", "p_name", "p_partkey"), "SELECT p_partkey, i AS start FROM part, range(64) r(i) WHERE substr(p_name, CAST(i AS INTEGER) + 1, 2) = 'el'")
+simple("shift_and_words", lambda t: analytics.word_starts(t.part, "ed", "p_name", "p_partkey"), "SELECT p_partkey, i AS start FROM part, range(64) r(i) WHERE substr(p_name, CAST(i AS INTEGER) + 1, 2) = 'ed'")
 simple("range_index_search", lambda t: analytics.range_search(t.orders.select(F.col("o_orderpriority").alias("id_from"), F.col("o_orderkey").alias("start"), F.expr("o_custkey % 40").alias("len"), F.col("o_custkey").alias("id_to")), "5-LOW"), "SELECT o_orderkey AS start, o_orderkey + o_custkey % 40 AS stop, o_custkey AS id_to FROM orders WHERE o_orderpriority = '5-LOW'")
 simple("scroll_window", lambda t: analytics.scroll(t.V, 1000, 9999, 500), "SELECT (idx - 1000) // 500 AS page, count(value) AS cnt, CAST(sum(value) AS BIGINT) AS total FROM V WHERE idx BETWEEN 1000 AND 9999 GROUP BY 1", V)
+
+# the same over whole documents; SQL over single characters takes minutes there, so tests hold these against brute force
+simple("doc_kmer_counts", lambda t: analytics.kmer_counts(t.documents, 5), None)
+simple("doc_kmer_histogram", lambda t: analytics.kmer_histogram(t.documents, 5), None)
+simple("doc_word_starts", lambda t: analytics.word_starts(t.documents, "the"), None)
+simple("doc_octet_stat", lambda t: metrics.octet_statistics(frames.vector(t.documents, "doc_id", "text")), None)
+simple("doc_max_text_length", lambda t: t.documents.agg(F.max(F.length("text")).cast("long").alias("n")), "SELECT max(length(text)) AS n FROM documents")

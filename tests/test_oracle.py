@@ -42,3 +42,17 @@ def test_matches_sql(spark, duck, name):
 def test_queries_without_sql_give_rows(spark):
     for name in ("cluster_leaders", "random_subset", "interval_layout"):
         assert entry.queries()[name](spark, FOLDER).count() > 0
+
+
+def test_texts_against_brute_force(spark):
+    from collections import Counter
+
+    texts = dict(duckdb.sql(f"SELECT doc_id, text FROM '{FOLDER}/documents.parquet'").fetchall())
+    run = lambda name: entry.queries()[name](spark, FOLDER).collect()
+    grams = Counter(t[i : i + 5] for t in texts.values() for i in range(len(t) - 4))
+    assert {r.kmer: r.cnt for r in run("doc_kmer_counts")} == grams
+    assert {r.cnt: r.kinds for r in run("doc_kmer_histogram")} == Counter(grams.values())
+    starts = {(d, i) for d, t in texts.items() for i in range(len(t)) if t.startswith("the", i)}
+    assert {(r.doc_id, r.start) for r in run("doc_word_starts")} == starts
+    chars = Counter((i, c) for t in texts.values() for i, c in enumerate(t))
+    assert {(r.pos, r.ch): r.cnt for r in run("doc_octet_stat")} == chars
