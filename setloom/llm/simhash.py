@@ -6,6 +6,10 @@ go down together, differing bits add up, and a pair is dropped once it has more
 anew by blocks of its remaining bits, again and again, which loses no link. A bucket yields a spanning forest, never all
 its pairs; components of the forests come from alternating large-star and small-star steps.
 
+near_duplicates() and op4 link by that alone. keep_one(), the filter of a corpus, also takes texts whose runs of five
+words are alike by 0.8 or more, which such fingerprints mostly miss: a second fingerprint over a text's distinct words
+changes little under edits, the same trie join with a wider budget finds candidates, and their runs are then compared.
+
 Defined results: null or empty text has fingerprint zero and is linked like any other; null doc_ids never name a
 component unless they are all it has; repeated rows are rows of one component; an empty table gives an empty result.
 """
@@ -15,7 +19,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
@@ -25,46 +29,69 @@ BITS = 2
 SEED = 42
 #: Distinct fingerprints a bucket may hold before it is dealt anew.
 LIMIT = 20_000
+#: The filter of a corpus: words in a run, likeness of the sets of runs, bits in which fingerprints of distinct words may
+#: differ, and how many times their bits are dealt in blocks.
+RUN, ALIKE, WORD_BITS, WORD_DEALS = 5, 0.8, 7, 2
+#: Nearest partners a bucket proposes for a row; the smallest hashes of a text's runs by which proposals are ranked; a
+#: text's proposals of highest rank that are compared in full.
+PARTNERS, SKETCH, COMPARED = 4, 64, 2
 #: Rows whose trie joins one task runs at a time.
 CHUNK = 200_000
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """64 bits, each 1 if set in over half the shingles' hashes; as a signed integer."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
-    if not words:
-        return 0
-    joined, n = b" ".join(words), len(words)
-    digest = xxhash.xxh64_intdigest
-    if n <= shingle:
-        hashes = [digest(joined, SEED)]
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").translate(ASCII_LOWER).split()
+
+
+def majority(hashes: list[int]) -> int:
+    """64 bits, each 1 if set in over half the hashes; as a signed integer."""
     total, half = np.zeros(64, np.int64), len(hashes) / 2
     for at in range(0, len(hashes), 65536):
         part = np.array(hashes[at : at + 65536], dtype="<u8")
         total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = np.packbits((total > half).astype(np.uint8), bitorder="little")
-    return int(bits.view("<i8")[0])
+    return int(np.packbits((total > half).astype(np.uint8), bitorder="little").view("<i8")[0])
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> list[int]:
+    """Of all runs of so many words, joined by spaces; of fewer words, of the whole; of none, nothing."""
+    joined, n, digest = b" ".join(words), len(words), xxhash.xxh64_intdigest
+    if n <= shingle:
+        return [digest(joined, SEED)] if n else []
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - shingle] + 1)).tolist()
+    return [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    return majority(shingle_hashes(words_of(text), shingle))
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, text -> doc_id, fp long."""
+def word_fingerprint(text: str | None) -> int:
+    """Over a text's distinct words, each once."""
+    digest = xxhash.xxh64_intdigest
+    return majority([digest(w, SEED) for w in set(words_of(text))])
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: bool = False) -> DataFrame:
+    """doc_id, text -> doc_id, fp long, and if asked wfp long, the fingerprint of the distinct words."""
+    names = ["doc_id", "fp", "wfp"][: 3 if words else 2]
 
     def run(batches):
         for batch in batches:
-            fps = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            texts = batch.column(1).to_pylist()
+            out = [batch.column(0).cast(pa.int64()), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
+            if words:
+                out.append(pa.array([word_fingerprint(t) for t in texts], pa.int64()))
+            yield pa.RecordBatch.from_arrays(out, names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
-def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int) -> np.ndarray:
-    """For rows sorted by (bucket, fp as unsigned), fps distinct in a bucket: the index of each row's root.
+def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int, partners: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """For rows sorted by (bucket, fp as unsigned), fps distinct in a bucket: the index of each row's root, and as rows of
+    (row, partner) each row's nearest partners.
 
     All buckets' tries go down together, a bit a level. A node is a range of rows; a pair of nodes is [a0, a1), [b0, b1)
     and its differing bits so far.
@@ -76,6 +103,14 @@ def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int) -> np.ndarray:
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
     fps = fps.astype(np.uint64)
+    close = np.zeros((0, 3), np.int64)  # row, bits apart, partner
+    heap: list[np.ndarray] = []
+
+    def nearest_only(found):
+        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
+        first = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
+        place = np.arange(len(found)) - np.repeat(first, np.diff([*first, len(found)]))
+        return found[place < partners]
 
     def hook(i, j):
         while len(i):
@@ -109,8 +144,14 @@ def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int) -> np.ndarray:
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             i, j = a0[leaf], b0[leaf]
-            near = (np.bitwise_count(fps[i] ^ fps[j]) <= errors) & (i != j)
-            hook(i[near], j[near])
+            apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)
+            near = (apart <= errors) & (i != j)
+            i, j, apart = i[near], j[near], apart[near]
+            if partners and len(i):
+                heap += [np.stack([i, apart, j], axis=1), np.stack([j, apart, i], axis=1)]
+                if sum(map(len, heap)) > 2_000_000:
+                    heap[:] = [nearest_only(np.concatenate(heap))]
+            hook(i, j)
             a0, a1, b0, b1, err = (x[~leaf] for x in (a0, a1, b0, b1, err))
         if not len(a0) or level > 63:
             continue
@@ -126,7 +167,9 @@ def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int) -> np.ndarray:
         nxt = [np.concatenate(xs) for xs in zip(*out)]
         alone = (nxt[0] == nxt[2]) & (nxt[1] - nxt[0] == 1) & (nxt[3] - nxt[2] == 1)
         stack.append((level + 1, *(x[~alone] for x in nxt)))
-    return root
+    if heap:
+        close = nearest_only(np.concatenate(heap))
+    return root, close[:, [0, 2]]
 
 
 def bit_blocks(n: int, parts: int, at: list[int] | None = None) -> list[list[int]]:
@@ -135,8 +178,12 @@ def bit_blocks(n: int, parts: int, at: list[int] | None = None) -> list[list[int
     return [b for b in (at[i : i + size] for i in range(0, len(at), size)) if b]
 
 
-def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT) -> DataFrame:
-    """Distinct fps (fp, id) -> edges (a, b) of ids, a < b, that connect what lies within errors bits."""
+def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT, deals: int = 1, partners: int = 0) -> DataFrame:
+    """Distinct fps (fp, id) -> edges (a, b) of ids, a < b, that connect what lies within errors bits.
+
+    deals: how many times bits are dealt in blocks before the first look at buckets' sizes: at 2 a key holds a block and
+    a block of the other bits. partners: also edges from each to so many of the nearest in its bucket.
+    """
 
     def masks(blocks):
         return [sum(1 << b for b in block) for block in blocks]
@@ -157,9 +204,11 @@ def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT) -> DataFrame
             fp = fp.view(np.uint64)
             order = np.lexsort((fp, bucket))
             bucket, fp, ids = bucket[order], fp[order], ids[order]
-            root = trie_forest(bucket, fp, errors)
+            root, close = trie_forest(bucket, fp, errors, partners)
             far = np.flatnonzero(root != np.arange(len(root)))
-            a, b = ids[far], ids[root[far]]
+            both = np.concatenate([np.stack([far, root[far]], axis=1), close])
+            both = np.unique(np.sort(both, axis=1), axis=0)
+            a, b = ids[both[:, 0]], ids[both[:, 1]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         held, n = [], 0
@@ -178,6 +227,8 @@ def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT) -> DataFrame
             yield done(held)
 
     blocks = bit_blocks(64, errors + 1)
+    for _ in range(deals - 1):
+        blocks = [block + sub for block in blocks for sub in bit_blocks(64, errors + 1, [b for b in range(64) if b not in block])]
     level = materialize(dealt(fps, blocks, None), "simhash-level")
     used = {k: block for k, block in enumerate(blocks)}
     found = None
@@ -239,13 +290,69 @@ def near_duplicates(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE,
     return rows.join(named, F.col("fp") == F.col("r_fp")).select("doc_id", "fp", "component_id")
 
 
+def alike(docs: DataFrame, edges: DataFrame, run: int = RUN, least: float = ALIKE) -> DataFrame:
+    """Of proposed edges (a, b) of doc_ids, those whose texts' sets of runs of words have a Jaccard index of least or more.
+
+    Sketches rank each text's proposals; its best ones are compared in full, so a long set travels for a few of them.
+    """
+
+    def sets(batches):
+        for batch in batches:
+            runs = [np.unique(np.array(shingle_hashes(words_of(t), run), np.uint64).astype(np.uint32)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in runs], pa.binary()), pa.array([r[:SKETCH].tobytes() for r in runs], pa.binary())], ["s_id", "runs", "sketch"])
+
+    def likeness(x: bytes, y: bytes, keep: int | None) -> float:
+        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
+        both = np.intersect1d(x, y, assume_unique=True)
+        if keep is None:
+            return len(both) / max(1, len(x) + len(y) - len(both))
+        union = np.union1d(x, y)[:keep]
+        return len(np.intersect1d(both, union, assume_unique=True)) / max(1, len(union))
+
+    def compare(keep):
+        def run_(batches):
+            for batch in batches:
+                found = [likeness(x, y, keep) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "j"])
+
+        return run_
+
+    def compared(pairs, column, keep):
+        x, y = (runs.select(F.col("s_id").alias(n), F.col(column).alias(v)) for n, v in (("a", "x"), ("b", "y")))
+        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare(keep), "a long, b long, j double")
+
+    asked = edges.select(F.explode(F.array("a", "b")).alias("e_id")).distinct()
+    one = docs.join(asked, docs["doc_id"] == asked["e_id"], "left_semi").dropDuplicates(["doc_id"])
+    runs = materialize(one.select("doc_id", "text").mapInArrow(sets, "s_id long, runs binary, sketch binary"), "simhash-runs")
+    rough = compared(edges, "sketch", SKETCH).filter(F.col("j") >= least - 0.25)
+    sides = rough.select("a", "b", "j").unionByName(rough.select(F.col("b").alias("a"), F.col("a").alias("b"), "j"))
+    best = sides.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("j"), "b"))).filter(F.col("n") <= COMPARED)
+    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-best")
+    return compared(best, "runs", None).filter(F.col("j") >= least).select("a", "b")
+
+
+def near_copies(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT, word_errors: int = WORD_BITS) -> DataFrame:
+    """doc_id, text -> doc_id, component_id: links of near_duplicates(), and of texts alike in their runs of words."""
+    rows = materialize(fingerprints(docs, shingle, words=True), "simhash-fp")
+    reps = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "wfp")).alias("m"))
+    reps = materialize(reps.select("fp", F.col("m.doc_id").alias("id"), F.col("m.wfp").alias("wfp")), "simhash-reps")
+    sure = forests(reps.select("fp", "id"), errors, limit)
+    firsts = reps.groupBy("wfp").agg(F.min("id").alias("first"))
+    same = reps.join(firsts, "wfp").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    near = forests(firsts.select(F.col("wfp").alias("fp"), F.col("first").alias("id")), word_errors, limit, WORD_DEALS, partners=PARTNERS)
+    maybe = materialize(same.unionByName(near).distinct(), "simhash-maybe")
+    roots = components(sure.unionByName(alike(docs, maybe)))
+    named = materialize(reps.join(roots, "id", "left").select(F.col("fp").alias("r_fp"), F.coalesce("root", "id").alias("component_id")), "simhash-named")
+    return rows.join(named, F.col("fp") == F.col("r_fp"), "left").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs with one row of each group of near-duplicates: that of the smallest doc_id. Columns as they came.
+    """docs with one row of each group of near copies: that of the smallest doc_id. Columns as they came.
 
     Rows of a null doc_id are kept apart from any group, one of each text.
     """
     names = docs.columns
-    found = near_duplicates(pick(docs, doc_id="long", text="string"), **options)
+    found = near_copies(pick(docs, doc_id="long", text="string"), **options)
     keep = found.filter("component_id = doc_id").select(F.col("doc_id").alias("k_id")).distinct()
     inner = [f"c{i}" for i in range(len(names))]
     at = names.index("doc_id") if "doc_id" in names else [n.lower() for n in names].index("doc_id")
