@@ -41,8 +41,28 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title noscript iframe template svg math object audio video canvas".split())
 OUT = frozenset("nav header footer aside form head button select menu search dialog".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th caption figcaption".split())
-#: Words in class, id or role by which a block says that it is not content.
-LABELS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|comments?|replies|disqus|sidebar|side|aside|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|popup|modal|overlay|widget|pagination|pager|toolbar|contentinfo|complementary|search|dialog)(?:$|[\s_-])", re.I)
+#: Words in class, id or role by which a block says that it is not content: as a name's first word, or as its last.
+FIRST = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments contentinfo cookie cookies consent disqus gdpr menu nav navbar navigation newsletter notice pagination popup promo promotion recommended related replies respond share sharing signup social sponsor sponsored subscribe".split())
+LAST = FIRST | frozenset("alert aside complementary dialog footer form header login masthead modal navigation overlay pager search sidebar side toolbar widget widgets".split())
+#: Words behind them that change nothing, and words before them that speak of another block.
+BEHIND = frozenset("area bar block box container content holder inner item items links list panel section slot unit wrap wrapper zone".split())
+ABOUT = frozenset("has no with without is".split())
+NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+
+
+def not_content(value: str) -> bool:
+    """Does a class, id or role name a block that is not content? `left-sidebar` does, `has-sidebar` and `sidebar-right` do not."""
+    for name in value.split():
+        parts = [p.lower() for p in NAME.findall(name)]
+        if not parts or parts[0] in ABOUT:
+            continue
+        while len(parts) > 1 and parts[-1] in BEHIND:
+            parts.pop()
+        if parts[0] in FIRST or parts[-1] in LAST:
+            return True
+    return False
+
+
 MAIN = re.compile(r"(?:^|\s)(?:main|articleBody)(?:$|\s)")
 
 
@@ -61,7 +81,7 @@ def opened(tag: str, attrs: str) -> Block:
         for name, a, b, c in ATTRIBUTE.findall(attrs):
             name, value = name.lower(), a or b or c
             if name in ("class", "id", "role"):
-                out = out or bool(LABELS.search(value))
+                out = out or (tag != "body" and not_content(value))
                 if name == "class" and not kind:
                     kind = re.sub(r"\d+", "", value.split()[0] if value.split() else "")
             elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):

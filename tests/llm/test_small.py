@@ -402,6 +402,18 @@ def test_html_copies_on_a_host_are_not_template(spark):
     assert {r.text for r in htmltext.extract_pages(pages, htmltext.induce(pages)).collect()} == {"Same head\nThe very same story."}
 
 
+@pytest.mark.parametrize("name, out", [("ad", True), ("site-footer", True), ("left-sidebar", True), ("comment-list", True), ("cookieNotice", True), ("ad-slot-1", True), ("related posts", True), ("page-header", True), ("has-sidebar", False), ("sidebar-right", False), ("post-content", False), ("headline", False), ("address", False), ("shadow", False), ("entry", False)])
+def test_names_of_blocks(name, out):
+    assert htmltext.not_content(name) == out
+
+
+def test_blocks_inside_and_outside_of_an_article():
+    page = """<body class="has-sidebar no-js"><header><p>Head</p></header><div class="layout sidebar-right"><article><h1>Title &lt;1&gt;</h1>
+    <p>One <b>bold</b> <i>word</i>.<p>Two<ul><li>a<li>b</ul><table><tr><td>c<td>d</table><div class="share-box">Share</div><form>Name <input></form>
+    <section id="comments"><article><p>A reader says</p></article></section><style>p{}</style></article><aside>Side</aside></div><div id="cookieNotice">Cookies</div></body>"""
+    assert htmltext.extract(htmltext.parse(page), None) == "Title <1>\nOne bold word.\nTwo\na\nb\nc\nd"
+
+
 def test_tree_matching():
     a = ["r", [["x", []], ["y", [["z", []]]], ["w", []]]]
     b = ["r", [["y", [["z", []]]], ["w", []], ["v", []]]]
