@@ -214,7 +214,7 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, str, float]]:
     kinds = [[t for t, toxic in sorted(kept.items()) if toxic == kind] for kind in (1, 0)]
     if not all(kinds):
         return []
-    signs = [[sign_of(t) for t in texts] for texts in kinds]
+    signs = [[sign_of(t) for t in kinds[0]], list(range(len(kinds[1])))]  # each clean text speaks against a feature
     bad, fine = [[" ".join(sorted(set(words_of(t)))) for t in texts] for texts in kinds]
     shared = Counter(f for own in bad for f in features(own))
     often = {f for f, n in shared.items() if n > 1}
@@ -253,7 +253,9 @@ def learn_stems(rows: list[tuple[str, int]]) -> list[tuple[str, str, float]]:
     # as many features as there are may each be pure by chance; ask for less than one such in a thousand
     least = math.ceil(math.log(max(len(pos), 1) * 1000) / -math.log(max(rate, 1e-6)) if rate < 1 else 10**9)
     beyond = {f for f in good if f not in chosen and len(pos[f]) >= max(4, least, COMMON * n_pos) and neg[f] <= PURE * len(pos[f])}
-    chosen |= {f: weight(f) for f in beyond if unlike(f, bad, signs[0])}
+    for f in sorted(beyond, key=lambda f: (len(f), f)):
+        if not any(f[:k] in chosen or f"{f[:k]}+" in chosen for k in range(1, len(f))) and unlike(f, bad, signs[0]):
+            chosen[f] = weight(f)
     # a prefix that nearly always goes on in one way is that longer prefix or word
     for f in [f for f in chosen if f[-1] != " "]:
         again = f[-1] == "+"
