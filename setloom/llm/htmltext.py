@@ -3,9 +3,10 @@
 A page's blocks form a tree; runs of like siblings are one node. Pages with the same tree on a host have one skeleton,
 and a host's skeletons are aligned with its most frequent one by simple tree matching, so each block gets a slot of the
 host's wrapper. A slot whose text stays the same, or changes among few values, over pages of different content is
-template; a varying slot is content. Blocks that say themselves what they are (menus, forms, adverts, comments and so on)
-are never content, and where a page has an article its paragraphs and headings are content whatever their slot says, so
-that copies of an article on one host do not make it a template.
+template, and so is a line of a varying slot that half of the contents repeat; the rest of a varying slot is content,
+inside an article and outside. Copies and near copies of a page on its host count as one content, so that they do not
+make it a template. Blocks that say themselves what they are (menus, forms, adverts, comments and so on) are never
+content; where a page has an article, a block outside it is content only if its slot was seen to vary.
 
 Defined results: null, empty or unparsable html gives an empty text; a page of a host with fewer than three different
 contents is judged by its own blocks alone; null url is a host of its own; repeated rows are extracted each; an empty
@@ -18,6 +19,7 @@ import html as entities
 import json
 import re
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -25,11 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
+from .simhash import components, shingle_hashes
 
-#: Fewest different contents of a host by which a slot can be judged.
+#: Fewest different contents of a host by which a slot can be judged, and in which a text is seen before it is template.
 LEAST = 3
 #: A slot is template if one text has this share of contents, or if there are at most this many texts a content.
 CONSTANT, FEW = 0.5, 1 / 3
+#: A slot's verdict: seen in too few contents, template, or varying.
+UNKNOWN, TEMPLATE, VARYING = 0, 1, 2
+#: Pages of a host are one content if they agree in one of so many bands of so many least hashes of runs of five words:
+#: 0.99 of the pairs alike by 0.8, 0.03 of those alike by 0.3.
+RUN, BANDS, ROWS = 5, 12, 5
+FACTORS = [xxhash.xxh64_intdigest(b"least", k) | 1 for k in range(BANDS * ROWS)]
 #: Wrappers of more bytes than this are joined, not broadcast.
 BROADCAST = 32 << 20
 
@@ -147,30 +156,27 @@ def own_text(block: Block) -> list[str]:
     return [t for t in out if t]
 
 
-def all_text(block: Block, into: list[str]) -> list[str]:
+def lines_in(block: Block, into: list[str]) -> list[str]:
+    """Texts of the block and of the blocks in it that may be content."""
+    into += own_text(block)
     for part in block.parts:
-        if isinstance(part, str):
-            into.append(part)
-        else:
-            into.append(" ")
-            all_text(part, into)
-            into.append(" ")
+        if not isinstance(part, str) and not part.out:
+            lines_in(part, into)
     return into
 
 
-def skeleton(root: Block) -> tuple[list, list[str]]:
-    """The tree with runs of like siblings as one node, [label, children], and the text of each node, in preorder.
+def skeleton(root: Block) -> tuple[list, list[list[str]]]:
+    """The tree with runs of like siblings as one node, [label, children], and the lines of each node, in preorder.
 
     Each block is told the number of its node.
     """
-    texts: list[str] = []
+    lines: list[list[str]] = []
 
     def node(blocks: list[Block]) -> list:
-        slot = len(texts)
-        texts.append("")
+        slot = len(lines)
+        lines.append([t for b in blocks for t in own_text(b)])
         for b in blocks:
             b.slot = slot
-        texts[slot] = " ".join(t for b in blocks for t in own_text(b))
         runs: list[list[Block]] = []
         for b in (p for x in blocks for p in x.parts if not isinstance(p, str)):
             if runs and runs[-1][0].label == b.label:
@@ -179,7 +185,7 @@ def skeleton(root: Block) -> tuple[list, list[str]]:
                 runs.append([b])
         return [blocks[0].label, [node(r) for r in runs]]
 
-    return node([root]), texts
+    return node([root]), lines
 
 
 def match(a: list, b: list) -> tuple[int, list]:
@@ -230,13 +236,23 @@ def align(tree: list, model: list) -> dict[int, int]:
     return out
 
 
-def signature(texts: list[str]) -> int:
-    """A page's content for counting: its longest node text, which copies of a page share."""
-    return xxhash.xxh64_intdigest(max(texts, key=len, default="").encode("utf-8", "surrogatepass")) >> 1
+def hashed(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) >> 1
+
 
+def signature(root: Block) -> tuple[int, list[int]]:
+    """A page's content for counting: a hash of its lines, which copies share, and bands that near copies share."""
+    text = " ".join(lines_in(root, []))
+    runs = np.array(shingle_hashes(text.encode("utf-8", "surrogatepass").split(), RUN), np.uint64)
+    if not len(runs):
+        return hashed(text), []
+    with np.errstate(over="ignore"):
+        least = np.array([(runs * np.uint64(f)).min() for f in FACTORS], np.uint64).reshape(BANDS, ROWS)
+    return hashed(text), [xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(least)]
 
-def extract(root: Block, template: list[bool] | None) -> str:
-    """Content blocks of the tree, a line each. template: by node of the skeleton."""
+
+def extract(root: Block, verdict: list[int] | None, constant: list[list[int]] | None = None) -> str:
+    """Content blocks of the tree, a line each. By node of the skeleton: its slot's verdict, hashes of its template lines."""
     mains: list[Block] = []
 
     def find(b: Block) -> None:
@@ -252,13 +268,16 @@ def extract(root: Block, template: list[bool] | None) -> str:
     lines: list[str] = []
 
     def put(b: Block, inside: bool) -> None:
-        fixed = template is not None and template[b.slot] and not (inside and b.tag in PROSE)
+        inside = inside or b.main
+        says = verdict[b.slot] if verdict is not None else UNKNOWN
+        fixed = says == TEMPLATE or not (inside or says == VARYING)
+        known = constant[b.slot] if constant is not None else ()
         now: list[str] = []
 
         def end() -> None:
             line = " ".join("".join(now).split())
             now.clear()
-            if line and not fixed:
+            if line and not fixed and not (known and hashed(line) in known):
                 lines.append(line)
 
         for p in b.parts:
@@ -270,8 +289,7 @@ def extract(root: Block, template: list[bool] | None) -> str:
                     put(p, inside)
         end()
 
-    for b in mains or [root]:
-        put(b, bool(mains))
+    put(root, not mains)
     return "\n".join(lines)
 
 
@@ -280,25 +298,34 @@ def host_of(url):
 
 
 def shapes(pages: DataFrame) -> DataFrame:
-    """host, html -> host, skel, tree, sig, texts: a hash for each node's text, null where it has none."""
+    """host, html -> host, skel, tree, sig, bands, lines: hashes of each node's lines."""
+    types = {"skel": pa.int64(), "tree": pa.string(), "sig": pa.int64(), "bands": pa.list_(pa.int64()), "lines": pa.list_(pa.list_(pa.int64()))}
 
     def run(batches):
         for batch in batches:
-            out = {"host": batch.column(0), "skel": [], "tree": [], "sig": [], "texts": []}
+            out = {name: [] for name in types}
             for page in batch.column(1):
-                tree, texts = skeleton(parse(page.as_py() or ""))
+                root = parse(page.as_py() or "")
+                tree, lines = skeleton(root)
                 shape = json.dumps(tree, separators=(",", ":"))
-                out["skel"].append(xxhash.xxh64_intdigest(shape) >> 1)
-                out["tree"].append(shape)
-                out["sig"].append(signature(texts))
-                out["texts"].append([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) >> 1 if t else None for t in texts])
-            yield pa.RecordBatch.from_arrays([out["host"], pa.array(out["skel"], pa.int64()), pa.array(out["tree"], pa.string()), pa.array(out["sig"], pa.int64()), pa.array(out["texts"], pa.list_(pa.int64()))], list(out))
+                sig, bands = signature(root)
+                for name, value in zip(types, (xxhash.xxh64_intdigest(shape) >> 1, shape, sig, bands, [[hashed(t) for t in ts] for ts in lines])):
+                    out[name].append(value)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[name], kind) for name, kind in types.items())], ["host", *types])
+
+    return pages.select("host", "html").mapInArrow(run, "host string, skel long, tree string, sig long, bands array<long>, lines array<array<long>>")
+
 
-    return pages.select("host", "html").mapInArrow(run, "host string, skel long, tree string, sig long, texts array<long>")
+def contents(seen: DataFrame) -> DataFrame:
+    """host, sig, bands -> c_id, content: the number of each page's content, one for all near copies on a host."""
+    of = seen.select("host", F.xxhash64("host", "sig").alias("c_id"), F.explode("bands").alias("band")).distinct()
+    near = of.groupBy("host", "band").agg(F.min("c_id").alias("a"), F.collect_set("c_id").alias("all")).filter(F.size("all") > 1)
+    edges = near.select("a", F.explode("all").alias("b"))
+    return components(edges).select(F.col("id").alias("c_id"), F.col("root").alias("content"))
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """host, html -> host, skel, template: for each skeleton of each host, which of its nodes are template."""
+    """host, html -> host, skel, verdict, constant: for each skeleton of each host, its nodes' verdicts and template lines."""
     seen = materialize(shapes(pages), "wrapper-shapes")
     kinds = seen.groupBy("host", "skel").agg(F.first("tree").alias("tree"), F.count("*").alias("n"))
 
@@ -315,32 +342,41 @@ def induce(pages: DataFrame) -> DataFrame:
 
     slots = materialize(kinds.groupBy("host").applyInPandas(aligned, "a_host string, a_skel long, slots array<string>"), "wrapper-slots")
     on = (F.col("host") == F.col("a_host")) & (F.col("skel") == F.col("a_skel"))
-    cells = seen.groupBy("host", "skel", "sig", "texts").count().join(slots, on)
-    cells = cells.select("host", "sig", F.explode(F.arrays_zip("slots", "texts")).alias("z")).select("host", "sig", F.col("z.slots").alias("slot"), F.col("z.texts").alias("text")).filter("text IS NOT NULL")
-    by_text = cells.distinct().groupBy("host", "slot", "text").agg(F.count("*").alias("n"))
-    by_slot = by_text.groupBy("host", "slot").agg(F.sum("n").alias("all"), F.max("n").alias("top"), F.count("*").alias("kinds"))
-    fixed = by_slot.filter((F.col("all") >= LEAST) & ((F.col("top") >= CONSTANT * F.col("all")) | (F.col("kinds") <= FEW * F.col("all"))))
-    fixed = fixed.groupBy("host").agg(F.collect_set("slot").alias("fixed")).select(F.col("host").alias("f_host"), "fixed")
-    out = slots.join(fixed, F.col("a_host") == F.col("f_host"), "left")
-    flags = F.transform("slots", lambda s: F.coalesce(F.array_contains(F.coalesce("fixed", F.array().cast("array<string>")), s), F.lit(False)))
-    return materialize(out.select(F.col("a_host").alias("host"), F.col("a_skel").alias("skel"), flags.alias("template")), "wrapper")
+    cells = seen.select("host", "skel", F.xxhash64("host", "sig").alias("id"), "lines").distinct()
+    copies = contents(seen)
+    cells = cells.join(copies, F.col("id") == F.col("c_id"), "left").withColumn("content", F.coalesce("content", "id")).join(slots, on)
+    cells = cells.select("host", "content", F.explode(F.arrays_zip("slots", "lines")).alias("z")).select("host", "content", F.col("z.slots").alias("slot"), F.col("z.lines").alias("lines")).filter(F.size("lines") > 0)
+    cells = materialize(cells.distinct(), "wrapper-cells")
+    by_text = cells.groupBy("host", "slot", F.xxhash64("lines").alias("text")).agg(F.countDistinct("content").alias("n"))
+    by_text = by_text.groupBy("host", "slot").agg(F.max("n").alias("top"), F.count("*").alias("kinds"))
+    by_slot = cells.groupBy("host", "slot").agg(F.countDistinct("content").alias("all")).filter(F.col("all") >= LEAST)
+    by_line = cells.select("host", "slot", "content", F.explode("lines").alias("line")).distinct().groupBy("host", "slot", "line").agg(F.count("*").alias("n"))
+    by_line = by_line.join(by_slot, ["host", "slot"]).filter((F.col("n") >= LEAST) & (F.col("n") >= CONSTANT * F.col("all"))).groupBy("host", "slot").agg(F.collect_set("line").alias("repeated"))
+    fixed = (F.col("top") >= LEAST) & ((F.col("top") >= CONSTANT * F.col("all")) | (F.col("kinds") <= FEW * F.col("all")))
+    judged = by_slot.join(by_text, ["host", "slot"]).join(by_line, ["host", "slot"], "left")
+    judged = judged.select(F.col("host").alias("j_host"), F.col("slot").alias("j_slot"), F.when(fixed, TEMPLATE).otherwise(VARYING).alias("v"), F.coalesce("repeated", F.array().cast("array<long>")).alias("r"))
+    nodes = slots.select("a_host", "a_skel", F.posexplode("slots").alias("at", "slot"))
+    nodes = nodes.join(judged, (F.col("a_host") == F.col("j_host")) & (F.col("slot") == F.col("j_slot")), "left")
+    node = F.struct("at", F.coalesce("v", F.lit(UNKNOWN)).alias("v"), F.coalesce("r", F.array().cast("array<long>")).alias("r"))
+    out = nodes.groupBy("a_host", "a_skel").agg(F.sort_array(F.collect_list(node)).alias("all"))
+    return materialize(out.select(F.col("a_host").alias("host"), F.col("a_skel").alias("skel"), F.col("all.v").alias("verdict"), F.col("all.r").alias("constant")), "wrapper")
 
 
 def extract_pages(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
     """page_id, url, host, html -> page_id, url, text."""
-    size = wrappers.agg(F.coalesce(F.sum(F.size("template") + F.length("host") + 100), F.lit(0))).first()[0]
+    size = wrappers.agg(F.coalesce(F.sum(F.size("verdict") + 8 * F.size(F.flatten("constant")) + F.length("host") + 100), F.lit(0))).first()[0]
     schema = "page_id long, url string, text string"
 
     def lines(page: str | None, host: str, find) -> str:
         root = parse(page or "")
         tree, _ = skeleton(root)
-        return extract(root, find(host, xxhash.xxh64_intdigest(json.dumps(tree, separators=(",", ":"))) >> 1))
+        return extract(root, *find(host, xxhash.xxh64_intdigest(json.dumps(tree, separators=(",", ":"))) >> 1) or (None, None))
 
     def rows(batch, texts):
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     if size <= BROADCAST:
-        known = pages.sparkSession.sparkContext.broadcast({(r.host, r.skel): r.template for r in wrappers.toLocalIterator()})
+        known = pages.sparkSession.sparkContext.broadcast({(r.host, r.skel): (r.verdict, r.constant) for r in wrappers.toLocalIterator()})
 
         def run(batches):
             for batch in batches:
@@ -349,12 +385,12 @@ def extract_pages(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
 
         return pages.select("page_id", "url", "host", "html").mapInArrow(run, schema)
 
-    per_host = wrappers.groupBy(F.col("host").alias("w_host")).agg(F.collect_list(F.struct("skel", "template")).alias("w"))
+    per_host = wrappers.groupBy(F.col("host").alias("w_host")).agg(F.collect_list(F.struct("skel", "verdict", "constant")).alias("w"))
     joined = pages.join(per_host, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "host", "html", "w")
 
     def unpacked(batches):
         for batch in batches:
-            w = [[(x["skel"], x["template"]) for x in ws] if ws else [] for ws in batch.column(4).to_pylist()]
+            w = [[(x["skel"], (x["verdict"], x["constant"])) for x in ws] if ws else [] for ws in batch.column(4).to_pylist()]
             yield rows(batch, [lines(p.as_py(), h, lambda _, k, d=dict(x): d.get(k)) for h, p, x in zip(batch.column(2).to_pylist(), batch.column(3), w)])
 
     return joined.mapInArrow(unpacked, schema)

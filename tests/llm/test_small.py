@@ -402,6 +402,22 @@ def test_html_copies_on_a_host_are_not_template(spark):
     assert {r.text for r in htmltext.extract_pages(pages, htmltext.induce(pages)).collect()} == {"Same head\nThe very same story."}
 
 
+def test_html_wrapper_decides_inside_and_outside_of_an_article(spark):
+    def words(k, n):
+        return " ".join(f"w{k}x{i}" for i in range(n))
+
+    inner = "<article><h1>Head {0}</h1><p>{1}</p><p>Read it first and subscribe today.</p><blockquote>Kept by the house</blockquote></article><div class='lead'>Lead {0} {2}</div><div class='end'>The end</div>"
+    rows = [(k, inner.format(k, words(k, 40), words(100 + k, 6))) for k in range(6)]
+    rows += [(10 + j, inner.format("same", words(50, 40) + f" edit{j}", words(150, 6))) for j in range(8)]  # near copies
+    rows = [(k, f"http://w.example/{k}", PAGE.format(x)) for k, x in rows]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", htmltext.host_of(F.col("url")))
+    got = {r.page_id: r.text for r in htmltext.extract_pages(pages, htmltext.induce(pages)).collect()}
+    for k in range(6):
+        assert got[k] == f"Head {k}\n{words(k, 40)}\nLead {k} {words(100 + k, 6)}"
+    for j in range(8):
+        assert got[10 + j] == f"Head same\n{words(50, 40)} edit{j}\nLead same {words(150, 6)}"
+
+
 @pytest.mark.parametrize("name, out", [("ad", True), ("site-footer", True), ("left-sidebar", True), ("comment-list", True), ("cookieNotice", True), ("ad-slot-1", True), ("related posts", True), ("page-header", True), ("has-sidebar", False), ("sidebar-right", False), ("post-content", False), ("headline", False), ("address", False), ("shadow", False), ("entry", False)])
 def test_names_of_blocks(name, out):
     assert htmltext.not_content(name) == out
