@@ -6,9 +6,10 @@ go down together, differing bits add up, and a pair is dropped once it has more
 anew by blocks of its remaining bits, again and again, which loses no link. A bucket yields a spanning forest, never all
 its pairs; components of the forests come from alternating large-star and small-star steps.
 
-near_duplicates() and op4 link by that alone. keep_one(), the filter of a corpus, also takes texts whose runs of five
-words are alike by 0.8 or more, which such fingerprints mostly miss: a second fingerprint over a text's distinct words
-changes little under edits, the same trie join with a wider budget finds candidates, and their runs are then compared.
+near_duplicates() and op4 link by that alone. keep_one(), the filter of a corpus, also takes texts whose sets of runs of
+five words have a Jaccard index of 0.8 or more. Such sets share one of their first runs in any fixed order of all runs
+(prefix filter), so texts are dealt by those; neighbours in a bucket are compared first, then all pairs of a bucket that
+are not yet connected. Every step before the comparison drops only what cannot be alike, so no link is lost.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; null doc_ids never name a
 component unless they are all it has; repeated rows are rows of one component; an empty table gives an empty result.
@@ -16,10 +17,12 @@ component unless they are all it has; repeated rows are rows of one component; a
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, pick
@@ -29,12 +32,14 @@ BITS = 2
 SEED = 42
 #: Distinct fingerprints a bucket may hold before it is dealt anew.
 LIMIT = 20_000
-#: The filter of a corpus: words in a run, likeness of the sets of runs, bits in which fingerprints of distinct words may
-#: differ, and how many times their bits are dealt in blocks.
-RUN, ALIKE, WORD_BITS, WORD_DEALS = 5, 0.8, 7, 2
-#: Nearest partners a bucket proposes for a row; the smallest hashes of a text's runs by which proposals are ranked; a
-#: text's proposals of highest rank that are compared in full.
-PARTNERS, SKETCH, COMPARED = 4, 64, 2
+#: The filter of a corpus: words in a run, likeness of the sets of runs.
+RUN, ALIKE = 5, 0.8
+#: A budget of bits of word_fingerprint(), for comparisons with candidates by fingerprints; the filter itself has none.
+WORD_BITS = 7
+#: Runs that more texts than this have among their first ones come last in the order of runs.
+HOT = 200
+#: Runs a bin holds on average, in the counts by which pairs are sifted; pairs looked at at a time.
+BIN, BLOCK = 16, 1 << 20
 #: Rows whose trie joins one task runs at a time.
 CHUNK = 200_000
 
@@ -74,24 +79,19 @@ def word_fingerprint(text: str | None) -> int:
     return majority([digest(w, SEED) for w in set(words_of(text))])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, words: bool = False) -> DataFrame:
-    """doc_id, text -> doc_id, fp long, and if asked wfp long, the fingerprint of the distinct words."""
-    names = ["doc_id", "fp", "wfp"][: 3 if words else 2]
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """doc_id, text -> doc_id, fp long."""
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            out = [batch.column(0).cast(pa.int64()), pa.array([fingerprint(t, shingle) for t in texts], pa.int64())]
-            if words:
-                out.append(pa.array([word_fingerprint(t) for t in texts], pa.int64()))
-            yield pa.RecordBatch.from_arrays(out, names)
+            fps = pa.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), fps], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int, partners: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by (bucket, fp as unsigned), fps distinct in a bucket: the index of each row's root, and as rows of
-    (row, partner) each row's nearest partners.
+def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int) -> np.ndarray:
+    """For rows sorted by (bucket, fp as unsigned), fps distinct in a bucket: the index of each row's root.
 
     All buckets' tries go down together, a bit a level. A node is a range of rows; a pair of nodes is [a0, a1), [b0, b1)
     and its differing bits so far.
@@ -103,14 +103,6 @@ def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int, partners: int
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
     fps = fps.astype(np.uint64)
-    close = np.zeros((0, 3), np.int64)  # row, bits apart, partner
-    heap: list[np.ndarray] = []
-
-    def nearest_only(found):
-        found = found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
-        first = np.flatnonzero(np.diff(found[:, 0], prepend=-1))
-        place = np.arange(len(found)) - np.repeat(first, np.diff([*first, len(found)]))
-        return found[place < partners]
 
     def hook(i, j):
         while len(i):
@@ -146,11 +138,7 @@ def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int, partners: int
             i, j = a0[leaf], b0[leaf]
             apart = np.bitwise_count(fps[i] ^ fps[j]).astype(np.int64)
             near = (apart <= errors) & (i != j)
-            i, j, apart = i[near], j[near], apart[near]
-            if partners and len(i):
-                heap += [np.stack([i, apart, j], axis=1), np.stack([j, apart, i], axis=1)]
-                if sum(map(len, heap)) > 2_000_000:
-                    heap[:] = [nearest_only(np.concatenate(heap))]
+            i, j = i[near], j[near]
             hook(i, j)
             a0, a1, b0, b1, err = (x[~leaf] for x in (a0, a1, b0, b1, err))
         if not len(a0) or level > 63:
@@ -167,9 +155,7 @@ def trie_forest(bucket: np.ndarray, fps: np.ndarray, errors: int, partners: int
         nxt = [np.concatenate(xs) for xs in zip(*out)]
         alone = (nxt[0] == nxt[2]) & (nxt[1] - nxt[0] == 1) & (nxt[3] - nxt[2] == 1)
         stack.append((level + 1, *(x[~alone] for x in nxt)))
-    if heap:
-        close = nearest_only(np.concatenate(heap))
-    return root, close[:, [0, 2]]
+    return root
 
 
 def bit_blocks(n: int, parts: int, at: list[int] | None = None) -> list[list[int]]:
@@ -178,12 +164,8 @@ def bit_blocks(n: int, parts: int, at: list[int] | None = None) -> list[list[int
     return [b for b in (at[i : i + size] for i in range(0, len(at), size)) if b]
 
 
-def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT, deals: int = 1, partners: int = 0) -> DataFrame:
-    """Distinct fps (fp, id) -> edges (a, b) of ids, a < b, that connect what lies within errors bits.
-
-    deals: how many times bits are dealt in blocks before the first look at buckets' sizes: at 2 a key holds a block and
-    a block of the other bits. partners: also edges from each to so many of the nearest in its bucket.
-    """
+def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT) -> DataFrame:
+    """Distinct fps (fp, id) -> edges (a, b) of ids, a < b, that connect what lies within errors bits."""
 
     def masks(blocks):
         return [sum(1 << b for b in block) for block in blocks]
@@ -204,11 +186,9 @@ def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT, deals: int =
             fp = fp.view(np.uint64)
             order = np.lexsort((fp, bucket))
             bucket, fp, ids = bucket[order], fp[order], ids[order]
-            root, close = trie_forest(bucket, fp, errors, partners)
+            root = trie_forest(bucket, fp, errors)
             far = np.flatnonzero(root != np.arange(len(root)))
-            both = np.concatenate([np.stack([far, root[far]], axis=1), close])
-            both = np.unique(np.sort(both, axis=1), axis=0)
-            a, b = ids[both[:, 0]], ids[both[:, 1]]
+            a, b = ids[far], ids[root[far]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
         held, n = [], 0
@@ -227,8 +207,6 @@ def forests(fps: DataFrame, errors: int = BITS, limit: int = LIMIT, deals: int =
             yield done(held)
 
     blocks = bit_blocks(64, errors + 1)
-    for _ in range(deals - 1):
-        blocks = [block + sub for block in blocks for sub in bit_blocks(64, errors + 1, [b for b in range(64) if b not in block])]
     level = materialize(dealt(fps, blocks, None), "simhash-level")
     used = {k: block for k, block in enumerate(blocks)}
     found = None
@@ -290,77 +268,191 @@ def near_duplicates(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE,
     return rows.join(named, F.col("fp") == F.col("r_fp")).select("doc_id", "fp", "component_id")
 
 
-def alike(docs: DataFrame, edges: DataFrame, run: int = RUN, least: float = ALIKE) -> DataFrame:
-    """Of proposed edges (a, b) of doc_ids, those whose texts' sets of runs of words have a Jaccard index of least or more.
+def run_set(text: str | None, run: int = RUN) -> np.ndarray:
+    """Hashes of a text's distinct runs of words, ascending."""
+    return np.unique(np.array(shingle_hashes(words_of(text), run), np.uint64))
 
-    Sketches rank each text's proposals; its best ones are compared in full, so a long set travels for a few of them.
-    """
 
-    def sets(batches):
+def first_runs(runs: np.ndarray, least: float, hot: np.ndarray | None = None) -> np.ndarray:
+    """So many of the runs that a set alike by least shares one; in the order of hashes, hot ones last."""
+    many = len(runs) - math.ceil(least * len(runs) - 1e-9) + 1 if len(runs) else 0
+    if hot is not None and len(runs):
+        at = np.isin(runs, hot)
+        runs = np.concatenate([runs[~at], runs[at]])
+    return runs[:many]
+
+
+def bins_of(runs: np.ndarray) -> bytes:
+    """Counts of runs by their lowest bits; 255 stands for more."""
+    size = 1 << max(6, (len(runs) // BIN).bit_length())
+    return np.minimum(np.bincount((runs & np.uint64(size - 1)).astype(np.int64), minlength=size), 255).astype(np.uint8).tobytes()
+
+
+def most_alike(x: bytes, nx: int, y: bytes, ny: int) -> float:
+    """A bound from above on the Jaccard index of two sets by their bins: they differ at least by what their bins do."""
+    x, y = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)
+    size = min(len(x), len(y))
+    apart = max(abs(nx - ny), int(np.abs(x.reshape(-1, size).sum(axis=0) - y.reshape(-1, size).sum(axis=0)).sum()))
+    return (nx + ny - apart) / (nx + ny + apart)
+
+
+def jaccard(x: bytes, y: bytes) -> float:
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, len(x) + len(y) - both)
+
+
+def may_be_alike(n1, at1, n2, at2, least: float):
+    """Can sets of n1 and n2 runs be alike if their first common run stands at these places?"""
+    both = np.minimum(np.minimum(n1, n2), 1 + np.minimum(n1 - at1 - 1, n2 - at2 - 1))
+    return both * (1 + least) >= least * (n1 + n2) - 1e-6
+
+
+def bucket_pairs(buckets: DataFrame, least: float, chain: bool) -> DataFrame:
+    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b): neighbours, or all of different components."""
+
+    def run(batches):
+        for batch in batches:
+            for bucket in batch.column(0):
+                x = bucket.values.flatten()
+                node, n, at, comp = (c.to_numpy(zero_copy_only=False) for c in x)
+                order = np.argsort(node if chain else n, kind="stable")
+                node, n, at, comp = node[order], n[order], at[order], comp[order]
+                if chain:
+                    ends = [(np.arange(len(node) - 1), np.arange(1, len(node)))]
+                else:  # a set's partners that are not smaller follow it, up to a size
+                    stop = np.searchsorted(n, n / least + 1e-6, side="right")
+                    ends = blocks_of(np.arange(len(node)) + 1, stop)
+                for i, j in ends:
+                    keep = may_be_alike(n[i], at[i], n[j], at[j], least) & (chain | (comp[i] != comp[j]))
+                    a, b = node[i[keep]], node[j[keep]]
+                    if len(a):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    def blocks_of(start, stop):
+        sizes = np.maximum(stop - start, 0)
+        low = 0
+        while low < len(sizes):
+            high = max(low + 1, int(np.searchsorted(np.cumsum(sizes[low:]), BLOCK, side="right")) + low)
+            part = sizes[low:high]
+            i = np.repeat(np.arange(low, high), part)
+            yield i, np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part) + start[i]
+            low = high
+
+    return buckets.mapInArrow(run, "a long, b long").distinct()
+
+
+def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """Of pairs (a, b) of nodes those alike: sifted by bins, then the sets of runs of those left are made and compared."""
+
+    def sides(frame, columns):
+        x, y = (frame.select(F.col("node").alias(n), *[F.col(c).alias(n + c) for c in columns]) for n in ("a", "b"))
+        return pairs.join(x, "a").join(y, "b")
+
+    def sift(batches):
+        for batch in batches:
+            keep = [most_alike(*r) >= least - 1e-9 for r in zip(*(batch.column(k).to_pylist() for k in range(2, 6)))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def runs(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([run_set(t).tobytes() for t in batch.column(1).to_pylist()], pa.binary())], ["node", "runs"])
+
+    def full(batches):
+        for batch in batches:
+            keep = [jaccard(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    pairs = materialize(sides(sets, ["bins", "n"]).select("a", "b", "abins", "an", "bbins", "bn").mapInArrow(sift, "a long, b long"), "simhash-sifted")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("e_id")).distinct()
+    made = texts.join(asked, texts["node"] == asked["e_id"], "left_semi").select("node", "text").dropDuplicates(["node"])
+    made = materialize(made.mapInArrow(runs, "node long, runs binary"), "simhash-runs")
+    return materialize(sides(made, ["runs"]).select("a", "b", "aruns", "bruns").mapInArrow(full, "a long, b long"), "simhash-alike")
+
+
+def alike(texts: DataFrame, sure: DataFrame, least: float = ALIKE) -> DataFrame:
+    """node, text, and edges (a, b) of nodes known to be linked -> edges that with those connect every two alike nodes."""
+
+    def described(batches):
         for batch in batches:
-            runs = [np.unique(np.array(shingle_hashes(words_of(t), run), np.uint64).astype(np.uint32)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in runs], pa.binary()), pa.array([r[:SKETCH].tobytes() for r in runs], pa.binary())], ["s_id", "runs", "sketch"])
-
-    def likeness(x: bytes, y: bytes, keep: int | None) -> float:
-        x, y = np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)
-        both = np.intersect1d(x, y, assume_unique=True)
-        if keep is None:
-            return len(both) / max(1, len(x) + len(y) - len(both))
-        union = np.union1d(x, y)[:keep]
-        return len(np.intersect1d(both, union, assume_unique=True)) / max(1, len(union))
-
-    def compare(keep):
-        def run_(batches):
-            for batch in batches:
-                found = [likeness(x, y, keep) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], ["a", "b", "j"])
-
-        return run_
-
-    def compared(pairs, column, keep):
-        x, y = (runs.select(F.col("s_id").alias(n), F.col(column).alias(v)) for n, v in (("a", "x"), ("b", "y")))
-        return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(compare(keep), "a long, b long, j double")
-
-    asked = edges.select(F.explode(F.array("a", "b")).alias("e_id")).distinct()
-    one = docs.join(asked, docs["doc_id"] == asked["e_id"], "left_semi").dropDuplicates(["doc_id"])
-    runs = materialize(one.select("doc_id", "text").mapInArrow(sets, "s_id long, runs binary, sketch binary"), "simhash-runs")
-    rough = compared(edges, "sketch", SKETCH).filter(F.col("j") >= least - 0.25)
-    sides = rough.select("a", "b", "j").unionByName(rough.select(F.col("b").alias("a"), F.col("a").alias("b"), "j"))
-    best = sides.withColumn("n", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("j"), "b"))).filter(F.col("n") <= COMPARED)
-    best = materialize(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "simhash-best")
-    return compared(best, "runs", None).filter(F.col("j") >= least).select("a", "b")
-
-
-def near_copies(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT, word_errors: int = WORD_BITS) -> DataFrame:
-    """doc_id, text -> doc_id, component_id: links of near_duplicates(), and of texts alike in their runs of words."""
-    rows = materialize(fingerprints(docs, shingle, words=True), "simhash-fp")
-    reps = rows.filter("doc_id IS NOT NULL").groupBy("fp").agg(F.min(F.struct("doc_id", "wfp")).alias("m"))
-    reps = materialize(reps.select("fp", F.col("m.doc_id").alias("id"), F.col("m.wfp").alias("wfp")), "simhash-reps")
-    sure = forests(reps.select("fp", "id"), errors, limit)
-    firsts = reps.groupBy("wfp").agg(F.min("id").alias("first"))
-    same = reps.join(firsts, "wfp").filter("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
-    near = forests(firsts.select(F.col("wfp").alias("fp"), F.col("first").alias("id")), word_errors, limit, WORD_DEALS, partners=PARTNERS)
-    maybe = materialize(same.unionByName(near).distinct(), "simhash-maybe")
-    roots = components(sure.unionByName(alike(docs, maybe)))
-    named = materialize(reps.join(roots, "id", "left").select(F.col("fp").alias("r_fp"), F.coalesce("root", "id").alias("component_id")), "simhash-named")
-    return rows.join(named, F.col("fp") == F.col("r_fp"), "left").select("doc_id", "component_id")
+            sets = [run_set(t) for t in batch.column(1).to_pylist()]
+            firsts = [first_runs(r, least).view(np.int64) for r in sets]
+            columns = [pa.array([xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63) for r in sets], pa.int64()), pa.array([len(r) for r in sets], pa.int64()), pa.array([bins_of(r) for r in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "key", "n", "bins", "firsts"])
+
+    every = materialize(texts.select("node", "text").mapInArrow(described, "node long, key long, n long, bins binary, firsts array<long>"), "simhash-sets")
+    # equal sets of runs stand for one another
+    one = every.filter("n > 0").groupBy("key").agg(F.min("node").alias("first"))
+    same = materialize(every.join(one, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), "simhash-same")
+    sets = every.join(one, every["node"] == one["first"], "left_semi")
+    hot = materialize(sets.select(F.explode("firsts").alias("r")).groupBy("r").count().filter(F.col("count") > HOT).select("r"), "simhash-hot-runs")
+    known = texts.sparkSession.sparkContext.broadcast(np.array([r.r for r in hot.toLocalIterator()], np.int64).view(np.uint64))
+
+    def again(batches):
+        for batch in batches:
+            firsts = [first_runs(run_set(t), least, known.value).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["node", "firsts"])
+
+    # without a hot run among its first ones a text's first runs stay as they are
+    moved = sets.select("node", F.explode("firsts").alias("r")).join(hot, "r", "left_semi").select(F.col("node").alias("m_id")).distinct()
+    moved = materialize(moved, "simhash-moved")
+    anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(again, "node long, firsts array<long>")
+    firsts = sets.join(moved, sets["node"] == moved["m_id"], "left_anti").select("node", "firsts").unionByName(anew)
+    rows = firsts.join(sets.select("node", "n"), "node").select("node", "n", F.posexplode("firsts").alias("at", "r"))
+
+    def buckets(rows):
+        return rows.groupBy("r").agg(F.collect_list(F.struct("node", "n", F.col("at").cast("long").alias("at"), "comp")).alias("bucket")).filter(F.size("bucket") > 1)
+
+    held = materialize(buckets(rows.withColumn("comp", F.col("node"))), "simhash-buckets")
+    found = same.unionByName(compared(bucket_pairs(held.select("bucket"), least, True), sets, texts, least))
+    roots = materialize(components(sure.unionByName(found)), "simhash-roots")
+    members = held.select("r", F.explode("bucket").alias("m")).select("r", "m.node", "m.n", "m.at")
+    members = members.join(roots, members["node"] == roots["id"], "left").withColumn("comp", F.coalesce("root", "node"))
+    open_ = buckets(members).filter(F.array_min("bucket.comp") < F.array_max("bucket.comp"))
+    return found.unionByName(compared(bucket_pairs(open_.select("bucket"), least, False), sets, texts, least))
+
+
+def near_copies(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
+    """doc_id, text -> doc_id, node, component_id, kept: links of near_duplicates(), and of texts alike in their runs of words.
+
+    A node is a text. kept: of the rows of a component's smallest doc_id, those of one text. Null doc_ids do not appear.
+    """
+    rows = docs.filter("doc_id IS NOT NULL").withColumn("node", node_of(F.col("text")))
+    texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text"), F.min("doc_id").alias("least")), "simhash-texts")
+    nodes = materialize(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "node"), "simhash-fp")
+    reps = nodes.groupBy("fp").agg(F.min("node").alias("id"))
+    equal = nodes.join(reps, "fp").filter("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
+    sure = materialize(equal.unionByName(forests(reps, errors, limit)), "simhash-sure")
+    roots = components(sure.unionByName(alike(texts.select("node", "text"), sure)))
+    named = texts.select("node", "least").join(roots, texts["node"] == roots["id"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    named = materialize(named, "simhash-named")
+    first = named.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m"))
+    named = named.join(first, "root").select(F.col("node").alias("r_id"), F.col("m.least").alias("component_id"), F.col("m.node").alias("of"))
+    found = rows.select("doc_id", "node").join(named, F.col("node") == F.col("r_id"))
+    return found.select("doc_id", "node", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("of"))).alias("kept"))
+
+
+def node_of(text):
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest doc_id. Columns as they came.
 
-    Rows of a null doc_id are kept apart from any group, one of each text.
+    Rows of a null doc_id are kept apart from any group, one of each text. Rows of one doc_id and unlike texts are groups
+    of their own.
     """
     names = docs.columns
     found = near_copies(pick(docs, doc_id="long", text="string"), **options)
-    keep = found.filter("component_id = doc_id").select(F.col("doc_id").alias("k_id")).distinct()
+    keep = found.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct()
     inner = [f"c{i}" for i in range(len(names))]
     at = names.index("doc_id") if "doc_id" in names else [n.lower() for n in names].index("doc_id")
     text = names.index("text") if "text" in names else [n.lower() for n in names].index("text")
     rows = docs.toDF(*inner)
-    one = rows.join(keep, rows[inner[at]].cast("long") == keep["k_id"], "left_semi").dropDuplicates([inner[at]])
+    rows = rows.withColumn("k", node_of(F.col(inner[text]).cast("string")))
+    one = rows.join(keep, (rows[inner[at]].cast("long") == keep["k_id"]) & (rows["k"] == keep["k_node"]), "left_semi").dropDuplicates([inner[at], "k"])
     lost = rows.filter(rows[inner[at]].isNull()).dropDuplicates([inner[text]])
-    return one.unionByName(lost).toDF(*names)
+    return one.unionByName(lost).drop("k").toDF(*names)
 
 
 def op4_simhash(spark, sf_dir: str) -> DataFrame:

@@ -114,6 +114,23 @@ def test_trie_forest_in_small_chunks(spark, monkeypatch):
     test_simhash_links_against_brute_force(spark, 20_000)
 
 
+def test_near_copies_behind_a_text_of_the_same_words(spark):
+    """P has B's words in another order and a smaller doc_id; B's edited copies are B's all the same."""
+    rng = np.random.default_rng(8)
+    texts = {}
+    for g in range(10):
+        base = [f"v{x}" for x in rng.integers(0, 400, 200)]
+        texts[g * 10] = " ".join(rng.permutation(base))
+        texts[g * 10 + 1] = " ".join(base)
+        for c in (2, 3):
+            copy = list(base)
+            for k in range(4):
+                copy[40 * k + 7 * c] = f"new{g}x{c}x{k}"
+            texts[g * 10 + c] = " ".join(copy)
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == {i: i if i % 10 == 0 else i // 10 * 10 + 1 for i in texts}
+
+
 def test_mixing(docs, none):
     items = picked(docs).select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
     got = mixing.mix_plan(items).collect()
