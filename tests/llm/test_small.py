@@ -114,6 +114,23 @@ def test_trie_forest_in_small_chunks(spark, monkeypatch):
     test_simhash_links_against_brute_force(spark, 20_000)
 
 
+def alike_groups(texts, fps):
+    """Components over all pairs, whatever their fingerprints of words."""
+    runs = {i: set(simhash.run_set(t).tolist()) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and ((fps[a] ^ fps[b]).bit_count() <= 2 or len(runs[a] & runs[b]) >= 0.8 * len(runs[a] | runs[b])):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return {i: top(i) for i in texts}
+
+
 def test_near_copies_behind_a_text_of_the_same_words(spark):
     """P has B's words in another order and a smaller doc_id; B's edited copies are B's all the same."""
     rng = np.random.default_rng(8)
@@ -131,6 +148,29 @@ def test_near_copies_behind_a_text_of_the_same_words(spark):
     assert got == {i: i if i % 10 == 0 else i // 10 * 10 + 1 for i in texts}
 
 
+@pytest.mark.parametrize("hot", [3, 200])
+def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot):
+    """Chains of edits, short texts against copies of other texts, and lines that many texts share."""
+    monkeypatch.setattr(simhash, "HOT", hot)
+    rng = np.random.default_rng(9)
+    shared = " ".join(f"licence{k}" for k in range(12))
+    texts = {}
+    for size in (9, 25, 60, 150):
+        base = [f"t{size}w{x}" for x in rng.integers(0, 300, size)]
+        for _ in range(110):
+            copy = list(base)
+            for at in rng.integers(0, size, rng.integers(0, max(2, size // 25))):
+                copy[at] = f"e{rng.integers(0, 10_000)}"
+            if rng.random() < 0.3:
+                base = copy
+            texts[len(texts)] = " ".join(copy)
+    for k in range(60):
+        texts[len(texts)] = shared + " " + " ".join(f"own{x}" for x in rng.integers(0, 5_000, rng.integers(2, 60)))
+    fps = {i: model_fingerprint(t) for i, t in texts.items()}
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == alike_groups(texts, fps)
+
+
 def test_mixing(docs, none):
     items = picked(docs).select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
     got = mixing.mix_plan(items).collect()
