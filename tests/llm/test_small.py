@@ -171,6 +171,12 @@ def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot):
     assert got == alike_groups(texts, fps)
 
 
+def test_keep_one_keeps_unlike_texts_of_one_doc_id(spark):
+    texts = [(1, "one text of a row " * 3), (1, "quite another text whose id is the same"), (1, "one text of a row " * 3), (2, "quite another text whose id is the same"), (3, "a third")]
+    kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == sorted([texts[0], texts[1], texts[4]])
+
+
 def test_mixing(docs, none):
     items = picked(docs).select("doc_id", "source", common.word_count(F.col("text")).alias("size"))
     got = mixing.mix_plan(items).collect()
