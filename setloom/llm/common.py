@@ -44,9 +44,11 @@ def fresh(df: DataFrame, *bases: str) -> list[str]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; one of our own only where that is unset, as in tests."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, one of our own in local mode only, as in tests."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='setloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -56,12 +58,27 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut, a lost executor costs nothing that is written."""
     spark = df.sparkSession
     path = new_path(spark, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of materialized frames that nothing reads any more, and lets Spark drop shuffles nobody holds."""
+    for df in frames:
+        delete_path(df.sparkSession, df.written_to)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()  # shuffle files go once the driver has collected what refers to them
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -70,8 +87,9 @@ def input_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame, mb: float = 16.0, least: int = 1) -> int:
-    """A number of partitions so that each holds about mb of df's input."""
-    return max(least, math.ceil(min(input_bytes(df), 1 << 60) / (mb * 1e6)))
+    """A number of partitions so that each holds about mb of df's input; as many as there are cores where its size is unknown."""
+    size = input_bytes(df)
+    return max(least, math.ceil(size / (mb * 1e6)) if size < 1 << 60 else df.sparkSession.sparkContext.defaultParallelism)
 
 
 def crc(column: str | Column) -> Column:

@@ -8,9 +8,13 @@ inside an article and outside. Copies and near copies of a page on its host coun
 make it a template. Blocks that say themselves what they are (menus, forms, adverts, comments and so on) are never
 content; where a page has an article, a block outside it is content only if its slot was seen to vary.
 
+Each page is parsed once; what is left of it, its lines with their slots, waits in the shared folder for the wrapper,
+which a join brings to it. A host's pages are never in one group: each skeleton is aligned for itself with the model.
+
 Defined results: null, empty or unparsable html gives an empty text; a page of a host with fewer than three different
-contents is judged by its own blocks alone; null url is a host of its own; repeated rows are extracted each; an empty
-table gives an empty result.
+contents is judged by its own blocks alone; null url is a host of its own; a page of any length is read whole; of equally
+frequent skeletons the one of the smallest hash is the model; repeated rows are extracted each; columns of other names are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,13 +24,12 @@ import json
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, release
 from .simhash import components, shingle_hashes
 
 #: Fewest different contents of a host by which a slot can be judged, and in which a text is seen before it is template.
@@ -39,8 +42,6 @@ UNKNOWN, TEMPLATE, VARYING = 0, 1, 2
 #: 0.99 of the pairs alike by 0.8, 0.03 of those alike by 0.3.
 RUN, BANDS, ROWS = 5, 12, 5
 FACTORS = [xxhash.xxh64_intdigest(b"least", k) | 1 for k in range(BANDS * ROWS)]
-#: Wrappers of more bytes than this are joined, not broadcast.
-BROADCAST = 32 << 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)>|<[!?][^>]*>", re.S)
 ATTRIBUTE = re.compile(r"(class|id|role|itemprop|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -251,8 +252,8 @@ def signature(root: Block) -> tuple[int, list[int]]:
     return hashed(text), [xxhash.xxh64_intdigest(row.tobytes(), k) >> 1 for k, row in enumerate(least)]
 
 
-def extract(root: Block, verdict: list[int] | None, constant: list[list[int]] | None = None) -> str:
-    """Content blocks of the tree, a line each. By node of the skeleton: its slot's verdict, hashes of its template lines."""
+def parts_of(root: Block) -> list[tuple[int, bool, str]]:
+    """(slot, inside of the article, line) of the blocks that may be content, in page order; without an article all is inside."""
     mains: list[Block] = []
 
     def find(b: Block) -> None:
@@ -265,20 +266,17 @@ def extract(root: Block, verdict: list[int] | None, constant: list[list[int]] |
                 find(p)
 
     find(root)
-    lines: list[str] = []
+    out: list[tuple[int, bool, str]] = []
 
     def put(b: Block, inside: bool) -> None:
         inside = inside or b.main
-        says = verdict[b.slot] if verdict is not None else UNKNOWN
-        fixed = says == TEMPLATE or not (inside or says == VARYING)
-        known = constant[b.slot] if constant is not None else ()
         now: list[str] = []
 
         def end() -> None:
             line = " ".join("".join(now).split())
             now.clear()
-            if line and not fixed and not (known and hashed(line) in known):
-                lines.append(line)
+            if line:
+                out.append((b.slot, inside, line))
 
         for p in b.parts:
             if isinstance(p, str):
@@ -290,7 +288,18 @@ def extract(root: Block, verdict: list[int] | None, constant: list[list[int]] |
         end()
 
     put(root, not mains)
-    return "\n".join(lines)
+    return out
+
+
+def chosen(parts: Column, verdict: Column, constant: Column) -> Column:
+    """The lines that the wrapper lets pass, one below the other. By slot: its verdict, hashes of its template lines."""
+
+    def content(p: Column) -> Column:
+        says = F.coalesce(F.get(verdict, p["slot"]), F.lit(UNKNOWN))
+        shown = (says != TEMPLATE) & (p["inside"] | (says == VARYING))
+        return shown & ~F.coalesce(F.array_contains(F.get(constant, p["slot"]), p["h"]), F.lit(False))
+
+    return F.array_join(F.transform(F.filter(parts, content), lambda p: p["line"]), "\n")
 
 
 def host_of(url):
@@ -298,49 +307,52 @@ def host_of(url):
 
 
 def shapes(pages: DataFrame) -> DataFrame:
-    """host, html -> host, skel, tree, sig, bands, lines: hashes of each node's lines."""
-    types = {"skel": pa.int64(), "tree": pa.string(), "sig": pa.int64(), "bands": pa.list_(pa.int64()), "lines": pa.list_(pa.list_(pa.int64()))}
+    """page_id, url, host, html -> page_id, url, host, skel, tree, sig, bands, lines (hashes of each node's lines), parts."""
+    part = pa.struct([("slot", pa.int32()), ("inside", pa.bool_()), ("line", pa.string()), ("h", pa.int64())])
+    types = {"skel": pa.int64(), "tree": pa.string(), "sig": pa.int64(), "bands": pa.list_(pa.int64()), "lines": pa.list_(pa.list_(pa.int64())), "parts": pa.list_(part)}
 
     def run(batches):
         for batch in batches:
             out = {name: [] for name in types}
-            for page in batch.column(1):
+            for page in batch.column(3):
                 root = parse(page.as_py() or "")
                 tree, lines = skeleton(root)
                 shape = json.dumps(tree, separators=(",", ":"))
                 sig, bands = signature(root)
-                for name, value in zip(types, (xxhash.xxh64_intdigest(shape) >> 1, shape, sig, bands, [[hashed(t) for t in ts] for ts in lines])):
+                parts = [{"slot": s, "inside": i, "line": t, "h": hashed(t)} for s, i, t in parts_of(root)]
+                for name, value in zip(types, (xxhash.xxh64_intdigest(shape) >> 1, shape, sig, bands, [[hashed(t) for t in ts] for ts in lines], parts)):
                     out[name].append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[name], kind) for name, kind in types.items())], ["host", *types])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(out[name], kind) for name, kind in types.items())], ["page_id", "url", "host", *types])
 
-    return pages.select("host", "html").mapInArrow(run, "host string, skel long, tree string, sig long, bands array<long>, lines array<array<long>>")
+    kinds = "skel long, tree string, sig long, bands array<long>, lines array<array<long>>, parts array<struct<slot:int,inside:boolean,line:string,h:long>>"
+    return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id long, url string, host string, {kinds}")
 
 
 def contents(seen: DataFrame) -> DataFrame:
     """host, sig, bands -> c_id, content: the number of each page's content, one for all near copies on a host."""
     of = seen.select("host", F.xxhash64("host", "sig").alias("c_id"), F.explode("bands").alias("band")).distinct()
-    near = of.groupBy("host", "band").agg(F.min("c_id").alias("a"), F.collect_set("c_id").alias("all")).filter(F.size("all") > 1)
-    edges = near.select("a", F.explode("all").alias("b"))
+    least = of.groupBy("host", "band").agg(F.min("c_id").alias("a"), F.count("*").alias("n")).filter("n > 1")
+    edges = of.join(least, ["host", "band"]).select("a", F.col("c_id").alias("b"))
     return components(edges).select(F.col("id").alias("c_id"), F.col("root").alias("content"))
 
 
-def induce(pages: DataFrame) -> DataFrame:
-    """host, html -> host, skel, verdict, constant: for each skeleton of each host, its nodes' verdicts and template lines."""
-    seen = materialize(shapes(pages), "wrapper-shapes")
+def induce(seen: DataFrame) -> DataFrame:
+    """shapes() -> host, skel, verdict, constant: for each skeleton of each host, its nodes' verdicts and template lines."""
     kinds = seen.groupBy("host", "skel").agg(F.first("tree").alias("tree"), F.count("*").alias("n"))
+    models = kinds.groupBy("host").agg(F.min(F.struct((-F.col("n")).alias("n"), "skel", "tree")).alias("m")).select(F.col("host").alias("m_host"), F.col("m.tree").alias("model"))
 
-    def aligned(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "skel"], ascending=[False, True])
-        model, rows = json.loads(pdf["tree"].iloc[0]), []
-        for skel, tree in zip(pdf["skel"], pdf["tree"]):
-            tree = json.loads(tree)
-            size = numbered(tree)[1]
-            at = align(tree, model)
-            # a node the model lacks is a slot of its own skeleton
-            rows.append((pdf["host"].iloc[0], skel, [str(at[i]) if i in at else f"{skel}:{i}" for i in range(size)]))
-        return pd.DataFrame(rows, columns=["a_host", "a_skel", "slots"])
-
-    slots = materialize(kinds.groupBy("host").applyInPandas(aligned, "a_host string, a_skel long, slots array<string>"), "wrapper-slots")
+    def aligned(batches):
+        for batch in batches:
+            slots = []
+            for skel, tree, model in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                tree = json.loads(tree)
+                at = align(tree, json.loads(model))
+                # a node the model lacks is a slot of its own skeleton
+                slots.append([str(at[i]) if i in at else f"{skel}:{i}" for i in range(numbered(tree)[1])])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(slots, pa.list_(pa.string()))], ["a_host", "a_skel", "slots"])
+
+    paired = kinds.join(models, F.col("host") == F.col("m_host")).select("host", "skel", "tree", "model")
+    slots = materialize(paired.mapInArrow(aligned, "a_host string, a_skel long, slots array<string>"), "wrapper-slots")
     on = (F.col("host") == F.col("a_host")) & (F.col("skel") == F.col("a_skel"))
     cells = seen.select("host", "skel", F.xxhash64("host", "sig").alias("id"), "lines").distinct()
     copies = contents(seen)
@@ -359,46 +371,21 @@ def induce(pages: DataFrame) -> DataFrame:
     nodes = nodes.join(judged, (F.col("a_host") == F.col("j_host")) & (F.col("slot") == F.col("j_slot")), "left")
     node = F.struct("at", F.coalesce("v", F.lit(UNKNOWN)).alias("v"), F.coalesce("r", F.array().cast("array<long>")).alias("r"))
     out = nodes.groupBy("a_host", "a_skel").agg(F.sort_array(F.collect_list(node)).alias("all"))
-    return materialize(out.select(F.col("a_host").alias("host"), F.col("a_skel").alias("skel"), F.col("all.v").alias("verdict"), F.col("all.r").alias("constant")), "wrapper")
+    out = materialize(out.select(F.col("a_host").alias("host"), F.col("a_skel").alias("skel"), F.col("all.v").alias("verdict"), F.col("all.r").alias("constant")), "wrapper")
+    release(slots, cells)
+    return out
 
 
-def extract_pages(pages: DataFrame, wrappers: DataFrame) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, host, html -> page_id, url, text."""
-    size = wrappers.agg(F.coalesce(F.sum(F.size("verdict") + 8 * F.size(F.flatten("constant")) + F.length("host") + 100), F.lit(0))).first()[0]
-    schema = "page_id long, url string, text string"
-
-    def lines(page: str | None, host: str, find) -> str:
-        root = parse(page or "")
-        tree, _ = skeleton(root)
-        return extract(root, *find(host, xxhash.xxh64_intdigest(json.dumps(tree, separators=(",", ":"))) >> 1) or (None, None))
-
-    def rows(batch, texts):
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
-    if size <= BROADCAST:
-        known = pages.sparkSession.sparkContext.broadcast({(r.host, r.skel): (r.verdict, r.constant) for r in wrappers.toLocalIterator()})
-
-        def run(batches):
-            for batch in batches:
-                own = known.value
-                yield rows(batch, [lines(p.as_py(), h, lambda *k: own.get(k)) for h, p in zip(batch.column(2).to_pylist(), batch.column(3))])
-
-        return pages.select("page_id", "url", "host", "html").mapInArrow(run, schema)
-
-    per_host = wrappers.groupBy(F.col("host").alias("w_host")).agg(F.collect_list(F.struct("skel", "verdict", "constant")).alias("w"))
-    joined = pages.join(per_host, F.col("host") == F.col("w_host"), "left").select("page_id", "url", "host", "html", "w")
-
-    def unpacked(batches):
-        for batch in batches:
-            w = [[(x["skel"], (x["verdict"], x["constant"])) for x in ws] if ws else [] for ws in batch.column(4).to_pylist()]
-            yield rows(batch, [lines(p.as_py(), h, lambda _, k, d=dict(x): d.get(k)) for h, p, x in zip(batch.column(2).to_pylist(), batch.column(3), w)])
-
-    return joined.mapInArrow(unpacked, schema)
+    seen = materialize(shapes(pages), "wrapper-shapes")
+    wrappers = induce(seen).select(F.col("host").alias("w_host"), F.col("skel").alias("w_skel"), "verdict", "constant")
+    rows = seen.join(wrappers, (F.col("host") == F.col("w_host")) & (F.col("skel") == F.col("w_skel")), "left")
+    return rows.select("page_id", "url", chosen(F.col("parts"), F.col("verdict"), F.col("constant")).alias("text"))
 
 
 def op6_htmltext(spark, sf_dir: str) -> DataFrame:
     """Every page's main text."""
     pages = pick(spark.read.parquet(f"{sf_dir}/pages.parquet"), page_id="long", url="string", html="string")
-    pages = pages.withColumn("host", host_of(F.col("url")))
-    out = extract_pages(pages, induce(pages))
+    out = extract_pages(pages.withColumn("host", host_of(F.col("url"))))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

@@ -1,8 +1,9 @@
 """Language-model scores: the marginal probability of a text over all segmentations of its words.
 
 A word's lattice has an arc for every piece of an existing public vocabulary and, if training texts hold the word, one
-arc over the whole of it. The vocabulary's ranks give the pieces' first scores; expectation-maximisation over all
-distinct training words, each word once, refines them. The whole-word arc has its discounted relative frequency, and the
+arc over the whole of it. The vocabulary's own scores are ranks, which a Zipf law turns into log probabilities; ROUNDS of
+expectation-maximisation over all distinct training words, each word once, refine them, as the ranks come from texts of
+other languages (rounds=0 takes the scores as they are). The whole-word arc has its discounted relative frequency, and the
 discounted mass goes to the pieces, so a word's probability is a sum over all its segmentations. The sums run forward in
 log space. Texts of several languages are a mixture: each language has word frequencies of its own, which fall back on
 those of all, and a text's probability is summed over the languages it may be in; its own language is no input.
@@ -11,8 +12,10 @@ Texts are read once. A task replaces words by numbers of its own chunk's word li
 of words, which grows with the corpus and stays distributed; each word gets its probability once; the probabilities go
 back to the chunks that asked for them. Only the pieces' scores, as many as the vocabulary has, are broadcast.
 
-Defined results: null or empty text is the end token alone; null doc_id counts as held out; repeated rows count as often
-as they occur; without training texts all pieces keep their first scores; an empty table gives an empty result.
+Defined results: null or empty text is the end token alone; null doc_id counts as held out; null lang is of the last
+component; repeated rows count as often as they occur, and rows of equal text and lang have equal scores; a text or word of
+any length counts whole; of equally frequent languages the smaller name goes first; columns of other names are ignored;
+without training texts all pieces keep their first scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,11 +38,9 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 FOLDS = 10
 #: Taken off counts where the counts of counts tell nothing.
 DISCOUNT = 0.75
-#: Components of the mixture; languages beyond the most frequent share the last.
+#: Components of the mixture; languages beyond the most frequent share the last, so each is one column of the words' table.
 COMPONENTS = 8
 ROUNDS = 3
-#: Longest piece that counts, in bytes.
-LONGEST = 12
 #: Bytes of text whose words share one list in a task's memory.
 CHUNK = 32 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -56,7 +57,7 @@ def vocabulary(path: str | None = None) -> tuple[list[bytes], np.ndarray]:
         for line in lines:
             code, rank = line.split()
             piece = base64.b64decode(code).lstrip(b" ")
-            if piece and len(piece) <= LONGEST and not set(piece) & set(b" \t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ"):
+            if piece and not set(piece) & set(b" \t\n\r\x0b\x0cABCDEFGHIJKLMNOPQRSTUVWXYZ"):
                 ranks[piece] = min(int(rank), ranks.get(piece, 1 << 30))
     last = max(ranks.values(), default=0)
     for b in range(256):
@@ -71,10 +72,12 @@ class Lattice:
     def __init__(self, pieces: list[bytes], logs: np.ndarray):
         """logs: a row of log scores for each place a piece can have: whole word, first, inner, last."""
         self.logs = logs
-        self.powers = [np.uint64(pow(int(MULTIPLIER), k, 1 << 64)) for k in range(LONGEST + 1)]
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        longest = int(sizes.max(initial=0))
+        self.powers = [np.uint64(pow(int(MULTIPLIER), k, 1 << 64)) for k in range(longest + 1)]
         self.by_size = []
-        for size in range(1, LONGEST + 1):
-            at = np.array([i for i, p in enumerate(pieces) if len(p) == size], np.int64)
+        for size in range(1, longest + 1):
+            at = np.flatnonzero(sizes == size)
             if len(at):
                 chars = np.frombuffer(b"".join(pieces[i] for i in at), np.uint8).reshape(-1, size)
                 hashes = self.prefix(chars)[size]

@@ -6,7 +6,9 @@ all rows is thereby dealt over all its buckets. Each source's weight schedule is
 inverse of that integral turns a place on the token axis into a training position.
 
 Defined results: null source is a source of its own, last in order; null text has size 0; a document of size 0 takes no
-words and keeps one copy; repeated rows are each mixed as a row; an empty table gives an empty result.
+words and keeps one copy; null doc_ids are dealt by size; of equal hashes the smaller doc_id, then size, goes first; a text
+of any length counts whole, and may be the one that its source takes in part; repeated rows are each mixed as a row;
+columns of other names are ignored or, in mix_documents, kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -14,14 +16,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, word_count
+from .common import materialize, pick, spread, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Slope of each source's weight over training time, in the same order: below 0 early, above 0 late; -1 to 1.
 SLOPES = (-0.5, 0.0, 0.5)
 CAP = 3.0
-BUCKETS = 1024
+#: Buckets at least; more where a bucket would hold over MB of the input.
+BUCKETS, MB = 1024, 64.0
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = CAP) -> DataFrame:
@@ -62,8 +65,8 @@ def mix_plan(items: DataFrame, weights=WEIGHTS, slopes=SLOPES, cap: float = CAP,
     taken: words of both; position: of the first copy in training time, 0 to 1, null where nothing is taken.
     """
     extra_key = [F.col("k_size")] if "k_size" in items.columns else []
-    keyed = items.select("doc_id", "source", "size", *extra_key, F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit(seed)).alias("_h"))
-    keyed = materialize(keyed.withColumn("_b", F.pmod("_h", F.lit(BUCKETS)).cast("int")), "mix-items")
+    keyed = items.select("doc_id", "source", "size", *extra_key, F.xxhash64(F.coalesce(F.col("doc_id"), -F.col("size")), F.lit(seed)).alias("_h"))
+    keyed = materialize(keyed.withColumn("_b", F.pmod("_h", F.lit(spread(items, MB, BUCKETS))).cast("int")), "mix-items")
     sums = materialize(keyed.groupBy("source", "_b").agg(F.sum("size").alias("_n")), "mix-sums")
     aims = targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, slopes, cap)
     earlier = Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

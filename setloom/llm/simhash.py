@@ -8,11 +8,14 @@ its pairs; components of the forests come from alternating large-star and small-
 
 near_duplicates() and op4 link by that alone. keep_one(), the filter of a corpus, also takes texts whose sets of runs of
 five words have a Jaccard index of 0.8 or more. Such sets share one of their first runs in any fixed order of all runs
-(prefix filter), so texts are dealt by those; neighbours in a bucket are compared first, then all pairs of a bucket that
-are not yet connected. Every step before the comparison drops only what cannot be alike, so no link is lost.
+(prefix filter), so texts are dealt by those; of buckets with the very same texts one stays. Neighbours of a bucket that
+are not yet connected are compared first, then all its pairs that are still not connected. Every step before the
+comparison drops only what cannot be alike, so no link is lost.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; null doc_ids never name a
-component unless they are all it has; repeated rows are rows of one component; an empty table gives an empty result.
+component unless they are all it has; repeated rows are rows of one component; a text of any length counts whole; of rows
+that could stay the one of the smallest doc_id does; extra columns are ignored or, in keep_one, kept; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, pick, release
 
 SHINGLE = 3
 BITS = 2
@@ -34,8 +37,6 @@ SEED = 42
 LIMIT = 20_000
 #: The filter of a corpus: words in a run, likeness of the sets of runs.
 RUN, ALIKE = 5, 0.8
-#: A budget of bits of word_fingerprint(), for comparisons with candidates by fingerprints; the filter itself has none.
-WORD_BITS = 7
 #: Runs that more texts than this have among their first ones come last in the order of runs.
 HOT = 200
 #: Runs a bin holds on average, in the counts by which pairs are sifted; pairs looked at at a time.
@@ -73,12 +74,6 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return majority(shingle_hashes(words_of(text), shingle))
 
 
-def word_fingerprint(text: str | None) -> int:
-    """Over a text's distinct words, each once."""
-    digest = xxhash.xxh64_intdigest
-    return majority([digest(w, SEED) for w in set(words_of(text))])
-
-
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, text -> doc_id, fp long."""
 
@@ -243,19 +238,27 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star steps; each is one grouped pass over the edges, and the edges shrink to stars.
     """
+
+    def mark(frame: DataFrame):
+        return frame.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
+    before = mark(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = materialize(large, "cc-large")
+        release(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("w")), F.struct(F.col("v").alias("u"), F.col("m").alias("w")))).alias("e"))
         small = small.select(F.col("e.u").alias("u"), F.col("e.w").alias("v")).filter("u <> v").distinct()
         small = materialize(small, "cc-small")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
+        release(large)
+        after = mark(small)
+        if after == before:  # the edges are stars: a step leaves them as they are
             return small.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-        edges = small
+        edges, before = small, after
 
 
 def near_duplicates(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -309,14 +312,14 @@ def may_be_alike(n1, at1, n2, at2, least: float):
 
 
 def bucket_pairs(buckets: DataFrame, least: float, chain: bool) -> DataFrame:
-    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b): neighbours, or all of different components."""
+    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b) of different components: neighbours, or all."""
 
     def run(batches):
         for batch in batches:
             for bucket in batch.column(0):
-                x = bucket.values.flatten()
-                node, n, at, comp = (c.to_numpy(zero_copy_only=False) for c in x)
-                order = np.argsort(node if chain else n, kind="stable")
+                node, n, at, comp = (c.to_numpy(zero_copy_only=False) for c in bucket.values.flatten())
+                n, at = n.astype(np.int64), at.astype(np.int64)
+                order = np.lexsort((node, comp)) if chain else np.argsort(n, kind="stable")
                 node, n, at, comp = node[order], n[order], at[order], comp[order]
                 if chain:
                     ends = [(np.arange(len(node) - 1), np.arange(1, len(node)))]
@@ -324,7 +327,7 @@ def bucket_pairs(buckets: DataFrame, least: float, chain: bool) -> DataFrame:
                     stop = np.searchsorted(n, n / least + 1e-6, side="right")
                     ends = blocks_of(np.arange(len(node)) + 1, stop)
                 for i, j in ends:
-                    keep = may_be_alike(n[i], at[i], n[j], at[j], least) & (chain | (comp[i] != comp[j]))
+                    keep = may_be_alike(n[i], at[i], n[j], at[j], least) & (comp[i] != comp[j])
                     a, b = node[i[keep]], node[j[keep]]
                     if len(a):
                         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -363,53 +366,95 @@ def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: float)
             keep = [jaccard(x, y) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = materialize(sides(sets, ["bins", "n"]).select("a", "b", "abins", "an", "bbins", "bn").mapInArrow(sift, "a long, b long"), "simhash-sifted")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("e_id")).distinct()
-    made = texts.join(asked, texts["node"] == asked["e_id"], "left_semi").select("node", "text").dropDuplicates(["node"])
+    sifted = materialize(sides(sets, ["bins", "n"]).select("a", "b", "abins", "an", "bbins", "bn").mapInArrow(sift, "a long, b long"), "simhash-sifted")
+    pairs = sifted
+    made = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("e_id")).distinct(), texts)
     made = materialize(made.mapInArrow(runs, "node long, runs binary"), "simhash-runs")
-    return materialize(sides(made, ["runs"]).select("a", "b", "aruns", "bruns").mapInArrow(full, "a long, b long"), "simhash-alike")
+    found = materialize(sides(made, ["runs"]).select("a", "b", "aruns", "bruns").mapInArrow(full, "a long, b long"), "simhash-alike")
+    release(sifted, made)
+    return found
 
 
-def alike(texts: DataFrame, sure: DataFrame, least: float = ALIKE) -> DataFrame:
-    """node, text, and edges (a, b) of nodes known to be linked -> edges that with those connect every two alike nodes."""
+def texts_of(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """asked: one column of nodes -> node, text, each once."""
+    return texts.join(asked, texts["node"] == asked[asked.columns[0]], "left_semi").select("node", "text").dropDuplicates(["node"])
 
-    def described(batches):
+
+def described(texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """node, text -> node, fp, key, n, bins, firsts: all that is known of a text without looking at others. n: its runs; key: of the set of them."""
+    kinds = {"node": pa.int64(), "fp": pa.int64(), "key": pa.int64(), "n": pa.int32(), "bins": pa.binary(), "firsts": pa.list_(pa.int64())}
+
+    def one(text):
+        r = run_set(text)
+        return majority(shingle_hashes(words_of(text), shingle)), xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63), len(r), bins_of(r), first_runs(r, least).view(np.int64)
+
+    def run(batches):
         for batch in batches:
-            sets = [run_set(t) for t in batch.column(1).to_pylist()]
-            firsts = [first_runs(r, least).view(np.int64) for r in sets]
-            columns = [pa.array([xxhash.xxh64_intdigest(r.tobytes()) - (1 << 63) for r in sets], pa.int64()), pa.array([len(r) for r in sets], pa.int64()), pa.array([bins_of(r) for r in sets], pa.binary()), pa.array(firsts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["node", "key", "n", "bins", "firsts"])
+            known: dict = {}
+            nodes, rows = batch.column(0).to_pylist(), []
+            for node, text in zip(nodes, batch.column(1)):
+                if node not in known:
+                    known[node] = one(text.as_py())
+                rows.append(known[node])
+            columns = zip(*rows) if rows else [[] for _ in range(5)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(c), k) for c, k in zip(columns, list(kinds.values())[1:]))], list(kinds))
 
-    every = materialize(texts.select("node", "text").mapInArrow(described, "node long, key long, n long, bins binary, firsts array<long>"), "simhash-sets")
-    # equal sets of runs stand for one another
-    one = every.filter("n > 0").groupBy("key").agg(F.min("node").alias("first"))
-    same = materialize(every.join(one, "key").filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")), "simhash-same")
-    sets = every.join(one, every["node"] == one["first"], "left_semi")
-    hot = materialize(sets.select(F.explode("firsts").alias("r")).groupBy("r").count().filter(F.col("count") > HOT).select("r"), "simhash-hot-runs")
+    return texts.select("node", "text").mapInArrow(run, "node long, fp long, key long, n int, bins binary, firsts array<long>")
+
+
+def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """node, n, firsts -> bucket: the nodes that have a run among their first ones, for every run that several have.
+
+    Many runs are held by the very same nodes; of those the first in the order of runs stays, as it is the first that any
+    two of its nodes share there.
+    """
+    firsts = sets.select("node", "n", F.posexplode("firsts").alias("at", "r"))
+    hot = materialize(firsts.groupBy("r").count().filter(F.col("count") > HOT).select("r"), "simhash-hot-runs")
     known = texts.sparkSession.sparkContext.broadcast(np.array([r.r for r in hot.toLocalIterator()], np.int64).view(np.uint64))
 
     def again(batches):
         for batch in batches:
             firsts = [first_runs(run_set(t), least, known.value).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["node", "firsts"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["m_node", "firsts"])
 
     # without a hot run among its first ones a text's first runs stay as they are
-    moved = sets.select("node", F.explode("firsts").alias("r")).join(hot, "r", "left_semi").select(F.col("node").alias("m_id")).distinct()
-    moved = materialize(moved, "simhash-moved")
-    anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").dropDuplicates(["node"]).mapInArrow(again, "node long, firsts array<long>")
-    firsts = sets.join(moved, sets["node"] == moved["m_id"], "left_anti").select("node", "firsts").unionByName(anew)
-    rows = firsts.join(sets.select("node", "n"), "node").select("node", "n", F.posexplode("firsts").alias("at", "r"))
-
-    def buckets(rows):
-        return rows.groupBy("r").agg(F.collect_list(F.struct("node", "n", F.col("at").cast("long").alias("at"), "comp")).alias("bucket")).filter(F.size("bucket") > 1)
-
-    held = materialize(buckets(rows.withColumn("comp", F.col("node"))), "simhash-buckets")
-    found = same.unionByName(compared(bucket_pairs(held.select("bucket"), least, True), sets, texts, least))
-    roots = materialize(components(sure.unionByName(found)), "simhash-roots")
-    members = held.select("r", F.explode("bucket").alias("m")).select("r", "m.node", "m.n", "m.at")
-    members = members.join(roots, members["node"] == roots["id"], "left").withColumn("comp", F.coalesce("root", "node"))
-    open_ = buckets(members).filter(F.array_min("bucket.comp") < F.array_max("bucket.comp"))
-    return found.unionByName(compared(bucket_pairs(open_.select("bucket"), least, False), sets, texts, least))
+    moved = materialize(firsts.join(hot, "r", "left_semi").select(F.col("node").alias("m_id")).distinct(), "simhash-moved")
+    anew = texts_of(moved, texts).mapInArrow(again, "m_node long, firsts array<long>")
+    anew = anew.join(sets.select("node", "n"), F.col("m_node") == F.col("node")).select("node", "n", F.posexplode("firsts").alias("at", "r"))
+    rows = firsts.join(moved, firsts["node"] == moved["m_id"], "left_anti").unionByName(anew)
+    members = rows.groupBy("r").agg(F.collect_list(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
+    one = members.groupBy(F.xxhash64("m.node").alias("of"), F.size("m").alias("size")).agg(F.min_by("m", F.col("m")[0]["at"]).alias("m"))
+    out = materialize(one.select("m"), "simhash-buckets")
+    release(hot, moved)
+    return out
+
+
+def alike(known: DataFrame, texts: DataFrame, sure: DataFrame, least: float = ALIKE) -> DataFrame:
+    """known: described() for each node, released here; edges (a, b) of nodes known to be linked -> edges that with those connect every two alike nodes."""
+    # equal sets of runs stand for one another
+    one = known.filter("n > 0").groupBy("key").agg(F.min(F.struct("node", "n", "bins", "firsts")).alias("s")).select("key", "s.*")
+    one = materialize(one, "simhash-sets")
+    sets = one.select("node", "n", "bins", "firsts")
+    same = known.filter("n > 0").select("key", F.col("node").alias("b")).join(one.select("key", F.col("node").alias("a")), "key").filter("a <> b").select("a", "b")
+    same = materialize(same, "simhash-same")
+    release(known)
+    held = shared_runs(sets, texts, least)
+
+    def buckets(roots: DataFrame) -> DataFrame:
+        """Buckets with nodes of several components, each node with its component."""
+        rows = held.withColumn("k", F.xxhash64("m")).select("k", F.explode("m").alias("m")).select("k", "m.*")
+        rows = rows.join(roots, rows["node"] == roots["id"], "left").select("k", "node", "n", "at", F.coalesce("root", "node").alias("comp"))
+        rows = rows.groupBy("k").agg(F.collect_list(F.struct("node", "n", "at", "comp")).alias("bucket"))
+        return rows.filter(F.array_min("bucket.comp") < F.array_max("bucket.comp")).select("bucket")
+
+    roots = materialize(components(sure.unionByName(same)), "simhash-roots")
+    first = compared(bucket_pairs(buckets(roots), least, True), sets, texts, least)
+    release(roots)
+    roots = materialize(components(sure.unionByName(same).unionByName(first)), "simhash-roots")
+    second = compared(bucket_pairs(buckets(roots), least, False), sets, texts, least)
+    out = materialize(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second), "simhash-links")
+    release(one, same, held, roots, first, second)
+    return out
 
 
 def near_copies(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
@@ -418,18 +463,23 @@ def near_copies(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, lim
     A node is a text. kept: of the rows of a component's smallest doc_id, those of one text. Null doc_ids do not appear.
     """
     rows = docs.filter("doc_id IS NOT NULL").withColumn("node", node_of(F.col("text")))
-    texts = materialize(rows.groupBy("node").agg(F.first("text").alias("text"), F.min("doc_id").alias("least")), "simhash-texts")
-    nodes = materialize(fingerprints(texts.select(F.col("node").alias("doc_id"), "text"), shingle).withColumnRenamed("doc_id", "node"), "simhash-fp")
+    ids = materialize(rows.select("doc_id", "node"), "simhash-ids")
+    every = materialize(described(rows, shingle, ALIKE), "simhash-every")
+    nodes = materialize(every.groupBy("node").agg(F.first("fp").alias("fp")), "simhash-fp")
     reps = nodes.groupBy("fp").agg(F.min("node").alias("id"))
     equal = nodes.join(reps, "fp").filter("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b"))
     sure = materialize(equal.unionByName(forests(reps, errors, limit)), "simhash-sure")
-    roots = components(sure.unionByName(alike(texts.select("node", "text"), sure)))
-    named = texts.select("node", "least").join(roots, texts["node"] == roots["id"], "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    links = alike(every, rows, sure)
+    release(nodes)
+    roots = materialize(components(sure.unionByName(links)), "simhash-roots")
+    release(sure, links)
+    named = ids.groupBy("node").agg(F.min("doc_id").alias("least")).join(roots, F.col("node") == F.col("id"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "simhash-named")
     first = named.groupBy("root").agg(F.min(F.struct("least", "node")).alias("m"))
     named = named.join(first, "root").select(F.col("node").alias("r_id"), F.col("m.least").alias("component_id"), F.col("m.node").alias("of"))
-    found = rows.select("doc_id", "node").join(named, F.col("node") == F.col("r_id"))
-    return found.select("doc_id", "node", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("of"))).alias("kept"))
+    found = ids.join(named, F.col("node") == F.col("r_id"))
+    found = found.select("doc_id", "node", "component_id", ((F.col("doc_id") == F.col("component_id")) & (F.col("node") == F.col("of"))).alias("kept"))
+    return found
 
 
 def node_of(text):
@@ -444,7 +494,7 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     """
     names = docs.columns
     found = near_copies(pick(docs, doc_id="long", text="string"), **options)
-    keep = found.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct()
+    keep = materialize(found.filter("kept").select(F.col("doc_id").alias("k_id"), F.col("node").alias("k_node")).distinct(), "simhash-kept")
     inner = [f"c{i}" for i in range(len(names))]
     at = names.index("doc_id") if "doc_id" in names else [n.lower() for n in names].index("doc_id")
     text = names.index("text") if "text" in names else [n.lower() for n in names].index("text")

@@ -6,7 +6,8 @@ last sequence is filled up with id 0 under mask 0. A task writes to names of its
 files count, so tasks that run twice do no harm. The manifest's sums give each shard its offset.
 
 Defined results: null or empty text is the end id alone; null doc_ids come last; rows of one doc_id are ordered by
-their text's hash; an empty table gives no shard and an empty result.
+their text's hash, repeated rows follow one another; a text of any length is encoded whole and may span sequences; columns
+of other names are ignored; an empty table gives no shard and an empty result.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ LENGTH, BATCH = 1024, 64
 END = 0
 #: Pieces a worker remembers.
 MEMORY = 1_000_000
-#: Shards there are at most; beyond, shards grow.
-MOST_SHARDS = 20_000
+#: Input of a shard; shards there are at most, as the driver sums up their sizes; beyond, shards grow.
+MB, MOST_SHARDS = 16.0, 20_000
 
 #: Texts of these characters alone are cut into pieces here, just as the library cuts them: letters, digits and the rest.
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
@@ -174,8 +175,8 @@ class Shard:
             s.close()
 
 
-def write(docs: DataFrame, folder: str, vocabulary: str | None = None, length: int = LENGTH, mb: float = 16.0) -> DataFrame:
-    """doc_id, text -> the manifest of the shards written: first_id, path, n_docs, n_tokens."""
+def write(docs: DataFrame, folder: str, vocabulary: str | None = None, length: int = LENGTH, shards: int | None = None) -> DataFrame:
+    """doc_id, text -> the manifest of the shards written: first_id, first_hash, path, n_docs, n_tokens."""
     path = vocabulary or public_tokenizers.path(VOCABULARY)
     kind = "<u2" if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else "<u4"
     end = np.array([END], kind).tobytes()
@@ -186,21 +187,22 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None, length: i
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 texts = [ids + end for ids in own.encode_all(part.column(1).to_pylist())]
-                shard = shard or Shard(folder, kind, length)
+                if not shard:
+                    shard, first_hash = Shard(folder, kind, length), part.column(2)[0].as_py()
                 shard.add(part.column(0).to_pylist(), texts)
         if shard:
             shard.close()
-            yield pa.RecordBatch.from_pydict({"first_id": pa.array([shard.first], pa.int64()), "path": [shard.name], "n_docs": pa.array([shard.docs], pa.int64()), "n_tokens": pa.array([shard.n], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"first_id": pa.array([shard.first], pa.int64()), "first_hash": pa.array([first_hash], pa.int64()), "path": [shard.name], "n_docs": pa.array([shard.docs], pa.int64()), "n_tokens": pa.array([shard.n], pa.int64())})
 
-    n = min(spread(docs, mb), MOST_SHARDS)
-    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text")]
-    ranged = docs.select("doc_id", "text").repartitionByRange(n, order[0]).sortWithinPartitions(*order)
-    return materialize(ranged.mapInArrow(run, "first_id long, path string, n_docs long, n_tokens long"), "tokens-manifest")
+    n = shards or min(spread(docs, MB), MOST_SHARDS)
+    order = [F.col("doc_id").asc_nulls_last(), "h"]  # so rows of one doc_id, or of none, are dealt over shards too
+    ranged = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return materialize(ranged.mapInArrow(run, "first_id long, first_hash long, path string, n_docs long, n_tokens long"), "tokens-manifest")
 
 
 def read(manifest: DataFrame) -> DataFrame:
     """The manifest's files -> doc_id, start, n_tokens, ids_crc32; start counts the ids of all documents before."""
-    shards = manifest.orderBy(F.col("first_id").asc_nulls_last()).select("path", "n_tokens").collect()  # at most MOST_SHARDS
+    shards = manifest.orderBy(F.col("first_id").asc_nulls_last(), "first_hash").select("path", "n_tokens").collect()  # at most MOST_SHARDS
     base, rows = 0, []
     for s in shards:
         rows.append((s.path, base))

@@ -5,9 +5,10 @@ intervals, each open until the value's next entry, and a capture is held against
 time. A capture's candidates are its host's suffixes and its path's prefixes, so the join is on equal values and only
 then on time.
 
-Defined results: a null or malformed url has an empty host and matches nothing; a null fetch time matches nothing; of a
-value's entries of one time the removal counts; repeated rows are judged each; an empty list lets all pass; an empty
-table gives an empty result.
+Defined results: a null or malformed url has an empty host and matches nothing; a null fetch time matches nothing; a url of
+any length is matched whole; of a value's entries of one time the removal counts; of several values that match, the
+longest is named, of equal lengths the greatest; repeated rows are judged each; extra columns stay, but for those named as
+the results; an empty list lets all pass; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,12 +34,17 @@ ENTRIES = [
     ("2024-11-01", "add", "domain", "ththan.example.net"),
 ]
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+    """Lower case, without port and without dots at its end; the brackets of an IPv6 address stay."""
+    return plain_host(F.coalesce(F.regexp_extract(url, HOST, 1), F.lit("")))
+
+
+def plain_host(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), r"\.+$", "")
 
 
 def candidates(url: Column) -> Column:
@@ -59,7 +65,7 @@ def candidates(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """at, action, kind, value -> key, valid_from, valid_to: the times a value is on the list; valid_to is not in, null is for ever."""
-    key = F.concat_ws(" ", F.lower("kind"), F.when(F.lower("kind") == "domain", F.lower("value")).otherwise(F.col("value")))
+    key = F.concat_ws(" ", F.lower("kind"), F.when(F.lower("kind") == "domain", plain_host(F.col("value"))).otherwise(F.col("value")))
     rows = entries.filter("at IS NOT NULL AND action IS NOT NULL AND kind IS NOT NULL AND value IS NOT NULL")
     rows = rows.groupBy(key.alias("key"), "at").agg(F.min(F.when(F.lower("action") == "add", 1).otherwise(0)).alias("on"))
     rows = rows.withColumn("valid_to", F.lead("at").over(Window.partitionBy("key").orderBy("at")))
@@ -77,7 +83,7 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     asked = asked.select(F.col("url").alias(url_), F.col("fetched").alias(at_), F.explode(candidates(F.col("url"))).alias(key))
     active = intervals(entries).withColumnRenamed("key", "i_key")
     on = (F.col(key) == F.col("i_key")) & (F.col(at_) >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col(at_) < F.col("valid_to")))
-    value = F.substring_index(F.col(key), " ", -1)
+    value = F.regexp_replace(F.col(key), "^[^ ]* ", "")  # the kind goes, the value may hold spaces
     found = asked.join(active, on).groupBy(url_, at_).agg(F.count("*").alias(hits), F.max(F.struct(F.length(value).alias("n"), value.alias("value"))).alias(value_))
     out = captures.join(found, (F.col("url") == F.col(url_)) & (F.col("fetched") == F.col(at_)), "left")
     keep = [c for c in captures.columns if c.lower() not in ("host", "n_active", "matched", "blocked")]
@@ -104,7 +110,7 @@ spans AS (SELECT *, lead(since) OVER (PARTITION BY kind, value ORDER BY since) A
 active AS (SELECT kind, value, since, until FROM spans WHERE up = 1),
 caps AS (
   SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS day,
-    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)) AS host,
+    regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:]*)', 1)), '\.+$', '') AS host,
     regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT c.page_id, c.url, strftime(c.day, '%Y-%m-%d') AS fetched, c.host, count(a.value) AS n_active,
   max_by(a.value, lpad(CAST(length(a.value) AS VARCHAR), 6, '0') || a.value) AS matched, count(a.value) > 0 AS blocked
