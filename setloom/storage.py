@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """df with its lineage cut in the folder named by spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """df with its lineage cut in the folder named by spark.checkpoint.dir; a folder of our own only where it is unset, in local mode."""
     ensure_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -16,6 +16,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def ensure_folder(spark: SparkSession) -> str:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='setloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if not spark.sparkContext.getCheckpointDir():
