@@ -67,7 +67,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """df written to the shared folder and read back: lineage is cut, a lost executor costs nothing that is written."""
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out

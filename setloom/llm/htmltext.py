@@ -166,18 +166,15 @@ def lines_in(block: Block, into: list[str]) -> list[str]:
     return into
 
 
-def skeleton(root: Block) -> tuple[list, list[list[str]]]:
-    """The tree with runs of like siblings as one node, [label, children], and the lines of each node, in preorder.
-
-    Each block is told the number of its node.
-    """
-    lines: list[list[str]] = []
+def skeleton(root: Block) -> list:
+    """The tree with runs of like siblings as one node, [label, children]. Each block is told its node's number in preorder."""
+    count = 0
 
     def node(blocks: list[Block]) -> list:
-        slot = len(lines)
-        lines.append([t for b in blocks for t in own_text(b)])
+        nonlocal count
         for b in blocks:
-            b.slot = slot
+            b.slot = count
+        count += 1
         runs: list[list[Block]] = []
         for b in (p for x in blocks for p in x.parts if not isinstance(p, str)):
             if runs and runs[-1][0].label == b.label:
@@ -186,7 +183,7 @@ def skeleton(root: Block) -> tuple[list, list[list[str]]]:
                 runs.append([b])
         return [blocks[0].label, [node(r) for r in runs]]
 
-    return node([root]), lines
+    return node([root])
 
 
 def match(a: list, b: list) -> tuple[int, list]:
@@ -297,7 +294,7 @@ def chosen(parts: Column, verdict: Column, constant: Column) -> Column:
     def content(p: Column) -> Column:
         says = F.coalesce(F.get(verdict, p["slot"]), F.lit(UNKNOWN))
         shown = (says != TEMPLATE) & (p["inside"] | (says == VARYING))
-        return shown & ~F.coalesce(F.array_contains(F.get(constant, p["slot"]), p["h"]), F.lit(False))
+        return shown & ~F.coalesce(F.array_contains(F.get(constant, p["slot"]), F.xxhash64(p["line"])), F.lit(False))
 
     return F.array_join(F.transform(F.filter(parts, content), lambda p: p["line"]), "\n")
 
@@ -307,24 +304,23 @@ def host_of(url):
 
 
 def shapes(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, html -> page_id, url, host, skel, tree, sig, bands, lines (hashes of each node's lines), parts."""
-    part = pa.struct([("slot", pa.int32()), ("inside", pa.bool_()), ("line", pa.string()), ("h", pa.int64())])
-    types = {"skel": pa.int64(), "tree": pa.string(), "sig": pa.int64(), "bands": pa.list_(pa.int64()), "lines": pa.list_(pa.list_(pa.int64())), "parts": pa.list_(part)}
+    """page_id, url, host, html -> page_id, url, host, skel, tree, sig, bands, parts."""
+    part = pa.struct([("slot", pa.int32()), ("inside", pa.bool_()), ("line", pa.string())])
+    types = {"skel": pa.int64(), "tree": pa.string(), "sig": pa.int64(), "bands": pa.list_(pa.int64()), "parts": pa.list_(part)}
 
     def run(batches):
         for batch in batches:
             out = {name: [] for name in types}
             for page in batch.column(3):
                 root = parse(page.as_py() or "")
-                tree, lines = skeleton(root)
-                shape = json.dumps(tree, separators=(",", ":"))
+                shape = json.dumps(skeleton(root), separators=(",", ":"))
                 sig, bands = signature(root)
-                parts = [{"slot": s, "inside": i, "line": t, "h": hashed(t)} for s, i, t in parts_of(root)]
-                for name, value in zip(types, (xxhash.xxh64_intdigest(shape) >> 1, shape, sig, bands, [[hashed(t) for t in ts] for ts in lines], parts)):
+                parts = [{"slot": s, "inside": i, "line": t} for s, i, t in parts_of(root)]
+                for name, value in zip(types, (xxhash.xxh64_intdigest(shape) >> 1, shape, sig, bands, parts)):
                     out[name].append(value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *(pa.array(out[name], kind) for name, kind in types.items())], ["page_id", "url", "host", *types])
 
-    kinds = "skel long, tree string, sig long, bands array<long>, lines array<array<long>>, parts array<struct<slot:int,inside:boolean,line:string,h:long>>"
+    kinds = "skel long, tree string, sig long, bands array<long>, parts array<struct<slot:int,inside:boolean,line:string>>"
     return pages.select("page_id", "url", "host", "html").mapInArrow(run, f"page_id long, url string, host string, {kinds}")
 
 
@@ -354,10 +350,12 @@ def induce(seen: DataFrame) -> DataFrame:
     paired = kinds.join(models, F.col("host") == F.col("m_host")).select("host", "skel", "tree", "model")
     slots = materialize(paired.mapInArrow(aligned, "a_host string, a_skel long, slots array<string>"), "wrapper-slots")
     on = (F.col("host") == F.col("a_host")) & (F.col("skel") == F.col("a_skel"))
-    cells = seen.select("host", "skel", F.xxhash64("host", "sig").alias("id"), "lines").distinct()
+    parts = seen.select("host", "skel", F.xxhash64("host", "sig").alias("id"), F.transform("parts", lambda p: F.struct(p["slot"].alias("at"), F.xxhash64(p["line"]).alias("h"))).alias("parts"))
+    # a row for each node with lines: hashes of its lines
+    nodes = parts.withColumn("at", F.explode(F.array_distinct("parts.at"))).select("host", "skel", "id", "at", F.transform(F.filter("parts", lambda p: p["at"] == F.col("at")), lambda p: p["h"]).alias("lines"))
     copies = contents(seen)
-    cells = cells.join(copies, F.col("id") == F.col("c_id"), "left").withColumn("content", F.coalesce("content", "id")).join(slots, on)
-    cells = cells.select("host", "content", F.explode(F.arrays_zip("slots", "lines")).alias("z")).select("host", "content", F.col("z.slots").alias("slot"), F.col("z.lines").alias("lines")).filter(F.size("lines") > 0)
+    cells = nodes.join(copies, F.col("id") == F.col("c_id"), "left").withColumn("content", F.coalesce("content", "id")).join(slots, on)
+    cells = cells.select("host", "content", F.get("slots", F.col("at")).alias("slot"), "lines")
     cells = materialize(cells.distinct(), "wrapper-cells")
     by_text = cells.groupBy("host", "slot", F.xxhash64("lines").alias("text")).agg(F.countDistinct("content").alias("n"))
     by_text = by_text.groupBy("host", "slot").agg(F.max("n").alias("top"), F.count("*").alias("kinds"))
