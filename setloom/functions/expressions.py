@@ -101,24 +101,28 @@ def number_octet(value: str | Column, k: int) -> Column:
 
 
 def set_octet(value: str | Column, k: int, char: str) -> Column:
-    """Text with its character k replaced; shorter texts stay as they are."""
-    v = col(value)
-    return F.when(F.length(v) > k, F.overlay(v, F.lit(char), k + 1, 1)).otherwise(v)
+    """Text with byte k of its UTF-8 form replaced; shorter texts stay as they are."""
+    v = F.encode(col(value), "UTF-8")
+    return F.when(F.octet_length(v) > k, F.overlay(v, F.encode(F.lit(char), "UTF-8"), F.lit(k + 1), F.lit(1)).cast("string")).otherwise(col(value))
 
 
 def insert_octet(value: str | Column, k: int, char: str) -> Column:
-    """Text with a character put in at position k."""
-    v = col(value)
-    return F.when(F.length(v) >= k, F.concat(F.substring(v, 1, k), F.lit(char), F.substring(v, F.lit(k + 1), F.length(v)))).otherwise(v)
+    """Text with a character put in before byte k of its UTF-8 form."""
+    v = F.encode(col(value), "UTF-8")
+    return F.when(F.octet_length(v) >= k, F.overlay(v, F.encode(F.lit(char), "UTF-8"), F.lit(k + 1), F.lit(0)).cast("string")).otherwise(col(value))
 
 
 def common_prefix(a: str | Column, b: str | Column) -> Column:
-    """Length of the longest common prefix in octets, by the hexadecimal forms."""
-    x, y = F.hex(F.encode(F.coalesce(col(a), F.lit("")), "UTF-8")), F.hex(F.encode(F.coalesce(col(b), F.lit("")), "UTF-8"))
-    n = F.least(F.length(x), F.length(y)) / 2
-    places = F.when(n > 0, F.sequence(F.lit(0), n.cast("int") - 1)).otherwise(F.array().cast("array<int>"))
-    differ = F.filter(places, lambda i: x.substr(i * 2 + 1, F.lit(2)) != y.substr(i * 2 + 1, F.lit(2)))
-    return F.coalesce(F.get(differ, F.lit(0)), n.cast("int"))
+    """Length of the longest common prefix in octets, by the octets' hexadecimal forms, each cut once."""
+
+    def octets(v: str | Column) -> Column:
+        return F.regexp_extract_all(F.hex(F.encode(F.coalesce(col(v), F.lit("")), "UTF-8")), F.lit("(..)"), F.lit(1))
+
+    def length(same: Column) -> Column:
+        n = F.array_position(same, F.lit(False)).cast("int")
+        return F.when(n > 0, n - 1).otherwise(F.size(same))
+
+    return bound(F.zip_with(octets(a), octets(b), lambda x, y: F.coalesce(x == y, F.lit(False))), length)
 
 
 def kleene(value: str | Column) -> Column:

@@ -17,10 +17,9 @@ def pack(a: DataFrame) -> DataFrame:
 
 
 def unpack(p: DataFrame) -> DataFrame:
-    """Members again: bytes that hold a bit are exploded, not all positions."""
-    hexes = F.hex("bitmap")
-    byte = F.conv(F.substring(hexes, F.col("at") * 2 + 1, F.lit(2)), 16, 10).cast("int")
-    rows = p.select("bucket", "bitmap", F.explode(F.sequence(F.lit(0), F.lit(4095))).alias("at")).select("bucket", "at", byte.alias("byte")).filter("byte <> 0")
+    """Members again: a bitmap is cut into bytes once, and those that hold a bit are exploded."""
+    rows = p.select("bucket", F.posexplode(F.regexp_extract_all(F.hex("bitmap"), F.lit("(..)"), F.lit(1))).alias("at", "digits")).filter("digits <> '00'")
+    rows = rows.select("bucket", "at", F.conv("digits", 16, 10).cast("int").alias("byte"))
     bits = rows.select("bucket", "at", "byte", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("bit")).filter(F.expr("getbit(byte, bit)") == 1)
     return bits.select(((F.col("bucket") - 1) * BUCKET + F.col("at") * 8 + F.col("bit")).cast("long").alias("id"))
 

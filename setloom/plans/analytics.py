@@ -70,11 +70,21 @@ def kmer_histogram(docs: DataFrame, k: int, **where) -> DataFrame:
 
 
 def word_starts(docs: DataFrame, word: str, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(key, start) of every occurrence of a word, overlaps too, by shifted position sets of its letters."""
-    letters = docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "")).alias("pos", "ch"))
-    wanted = docs.sparkSession.createDataFrame([(i, c) for i, c in enumerate(word)], "ord int, ch string")
-    hits = letters.join(wanted, "ch").select(key, (F.col("pos") - F.col("ord")).alias("start"), "ord").filter("start >= 0")
-    return hits.groupBy(key, "start").agg(F.count("*").alias("n")).filter(F.col("n") == len(word)).select(key, F.col("start").cast("long").alias("start"))
+    """(key, start) of every occurrence of a word, overlaps too: places whose letters are the word's, text by text."""
+
+    def starts(chars):
+        places = F.when(F.size(chars) >= len(word), F.sequence(F.lit(0), F.size(chars) - len(word))).otherwise(F.array().cast("array<int>"))
+
+        def here(i):
+            out = F.lit(True)
+            for k, c in enumerate(word):
+                out = out & (F.get(chars, i + k) == c)
+            return out
+
+        return F.filter(places, here)
+
+    chars = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), ""), lambda x: x != "")
+    return docs.select(key, F.explode(bound(chars, starts)).alias("start")).select(key, F.col("start").cast("long").alias("start"))
 
 
 def cluster_leaders(sets: DataFrame, threshold: float) -> DataFrame:

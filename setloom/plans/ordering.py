@@ -5,26 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import checkpointed
+
 
 def sorted_vector(v: DataFrame) -> DataFrame:
     """Values in order; a distributed sort by ranges."""
     return v.orderBy(F.col("value").asc_nulls_last(), "idx")
 
 
-def ordered_index(values: DataFrame, column: str, name: str = "idx", width: int = 2) -> DataFrame:
-    """Distinct values with their place in order, from 0.
+def ordered_index(values: DataFrame, column: str, name: str = "idx") -> DataFrame:
+    """Distinct values of any type that Spark can sort, with their place in order, from 0.
 
-    Values are counted by a prefix of their text form's bytes and by a longer one, so no window holds all rows.
+    Spark cuts the values into ranges of about equal size, whatever prefix they share; the ranges' sizes give each its
+    first place. The ranges are checkpointed, so that their numbers are the same wherever they are read.
     """
-    key = F.hex(F.encode(F.col(column).cast("string"), "UTF-8"))
-    rows = values.select(F.col(column)).withColumns({"_p": F.substring(key, 1, 2 * width), "_q": F.substring(key, 1, 4 * width)})
-    small = rows.groupBy("_p", "_q").agg(F.count("*").alias("n"))
-    tops = small.groupBy("_p").agg(F.sum("n").alias("n"))
-    tops = tops.withColumn("skip", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "skip")
-    part = F.coalesce(F.sum("n").over(Window.partitionBy("_p").orderBy("_q").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    off = small.withColumn("part", part).join(tops, "_p").select(F.col("_q").alias("_k"), (F.col("skip") + F.col("part")).alias("before"))
-    place = F.row_number().over(Window.partitionBy("_q").orderBy(column)) - 1
-    out = rows.join(off, F.col("_q") == F.col("_k"))
+    ranged = values.select(F.col(column)).repartitionByRange(F.col(column)).withColumn("_p", F.spark_partition_id())
+    ranged = checkpointed(ranged)
+    starts = F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = ranged.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", starts)  # a row for each range
+    sizes = sizes.select(F.col("_p").alias("_of"), "before")
+    place = F.row_number().over(Window.partitionBy("_p").orderBy(column)) - 1
+    out = ranged.join(sizes, F.col("_p") == F.col("_of"))
     return out.select((F.col("before") + place).cast("long").alias(name), F.col(column))
 
 

@@ -5,6 +5,7 @@ Sets: A orders of status F, B orders above 150,000, T urgent orders. Vector: ord
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from . import functions as fn
 from .operators import frames, intervals, metrics, multi, navigation, packed, position, rank, relations, search, sets, vectors
 from .plans import analytics, ordering
+from .sources import readers, writers
+from .storage import ensure_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -140,7 +143,8 @@ _ids = lambda t: t.orders.select(F.col("o_orderkey").alias("id"))
 simple("set_test", lambda t: sets.test(t.A, _ids(t)), "SELECT o_orderkey AS id, o_orderkey IN (SELECT id FROM A) AS member FROM orders", A)
 simple("set_compare", lambda t: sets.compare(t.A, t.B), "SELECT CAST(CASE WHEN m IS NULL THEN 0 WHEN m IN (SELECT id FROM A) THEN 1 ELSE -1 END AS INTEGER) AS cmp FROM (SELECT min(id) AS m FROM ((SELECT id FROM A EXCEPT SELECT id FROM B) UNION (SELECT id FROM B EXCEPT SELECT id FROM A)))", A, B)
 simple("set_first_mismatch", lambda t: sets.first_mismatch(t.A, t.B), "SELECT min(id) AS first_mismatch FROM ((SELECT id FROM A EXCEPT SELECT id FROM B) UNION (SELECT id FROM B EXCEPT SELECT id FROM A))", A, B)
-simple("set_equal", lambda t: sets.equal(t.A, t.A), "SELECT TRUE AS equal")
+simple("set_equal", lambda t: sets.equal(t.A, t.A.filter("id % 2 = 0").unionByName(t.A.filter("id % 2 <> 0"))), "SELECT count(*) = 0 AS equal FROM A WHERE id NOT IN (SELECT id FROM A)", A)
+simple("set_unequal", lambda t: sets.equal(t.A, t.B), "SELECT count(*) = 0 AS equal FROM ((SELECT id FROM A EXCEPT SELECT id FROM B) UNION ALL (SELECT id FROM B EXCEPT SELECT id FROM A))", A, B)
 _SEQ = "S AS (SELECT o_custkey AS id FROM orders)"
 _seq = lambda t: t.orders.select(F.col("o_custkey").alias("id"))
 simple("seq_or", lambda t: sets.combine_or(t.A, _seq(t)), "SELECT id FROM A UNION SELECT id FROM S", A, _SEQ)
@@ -214,7 +218,7 @@ simple("extract_next", lambda t: navigation.extract_next(t.A), "SELECT id FROM A
 simple("enumerator_go_to", lambda t: navigation.go_to(t.A, 9000), "SELECT id FROM A WHERE id >= 9000", A)
 simple("sort_values", lambda t: ordering.sorted_vector(t.N), "SELECT idx, value FROM N", N)
 simple("ordered_index", lambda t: ordering.ordered_index(t.part.select(F.col("p_name").alias("value")).distinct(), "value"), "SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT DISTINCT p_name AS value FROM part)")
-simple("random_subset", lambda t: navigation.sample(t.A, 100), None)
+simple("random_subset", lambda t: navigation.sample(t.A, 100).join(t.A.withColumn("member", F.lit(1)), "id", "left").agg(F.countDistinct("id").alias("n"), F.count("member").alias("members")), "SELECT least(count(*), 100) AS n, least(count(*), 100) AS members FROM A", A)
 
 # positions
 simple("shift_right", lambda t: position.shift_right(t.A), "SELECT id + 1 AS id FROM A", A)
@@ -329,6 +333,7 @@ simple("vec_mismatch_use_null", lambda t: vectors.mismatch(t.V, _short(t)), "SEL
 simple("vec_mismatch_no_null", lambda t: vectors.mismatch(t.V, _short(t), use_null=False), "SELECT V.idx AS id FROM V LEFT JOIN W2 ON V.idx = W2.idx WHERE (V.value IS NOT NULL OR W2.value IS NOT NULL) AND (W2.idx IS NULL OR V.value IS DISTINCT FROM W2.value)", V, W, _SHORT)
 simple("vec_first_mismatch", lambda t: vectors.first_mismatch(t.V, t.W), "SELECT min(V.idx) AS first_mismatch FROM V JOIN W ON V.idx = W.idx WHERE V.value IS DISTINCT FROM W.value", V, W)
 simple("vec_equal", lambda t: vectors.equal(t.V, t.V), "SELECT TRUE AS equal")
+simple("vec_unequal", lambda t: vectors.equal(t.V, t.W), "SELECT count(*) = 0 AS equal FROM V JOIN W ON V.idx = W.idx WHERE V.value IS DISTINCT FROM W.value", V, W)
 simple("clip_high", lambda t: t.V.select("idx", fn.clip_high("value", 6).alias("value")), "SELECT idx, CASE WHEN value >> 7 <> 0 THEN 127 ELSE value END AS value FROM V", V)
 simple("clip_low", lambda t: t.V.select("idx", fn.clip_low("value", 4).alias("value")), "SELECT idx, CASE WHEN (value >> 5 <> 0) <> (value & 15 <> 0) THEN ((value >> 4) << 4) | 16 ELSE (value >> 4) << 4 END AS value FROM V", V)
 simple("set_octet", lambda t: t.N.select("idx", fn.set_octet("value", 1, "X").alias("value")), "SELECT idx, CASE WHEN length(value) > 1 THEN substr(value, 1, 1) || 'X' || substr(value, 3) ELSE value END AS value FROM N", N)
@@ -408,9 +413,46 @@ simple("shift_and_words", lambda t: analytics.word_starts(t.part, "ed", "p_name"
 simple("range_index_search", lambda t: analytics.range_search(t.orders.select(F.col("o_orderpriority").alias("id_from"), F.col("o_orderkey").alias("start"), F.expr("o_custkey % 40").alias("len"), F.col("o_custkey").alias("id_to")), "5-LOW"), "SELECT o_orderkey AS start, o_orderkey + o_custkey % 40 AS stop, o_custkey AS id_to FROM orders WHERE o_orderpriority = '5-LOW'")
 simple("scroll_window", lambda t: analytics.scroll(t.V, 1000, 9999, 500), "SELECT (idx - 1000) // 500 AS page, count(value) AS cnt, CAST(sum(value) AS BIGINT) AS total FROM V WHERE idx BETWEEN 1000 AND 9999 GROUP BY 1", V)
 
-# the same over whole documents; SQL over single characters takes minutes there, so tests hold these against brute force
-simple("doc_kmer_counts", lambda t: analytics.kmer_counts(t.documents, 5), None)
-simple("doc_kmer_histogram", lambda t: analytics.kmer_histogram(t.documents, 5), None)
-simple("doc_word_starts", lambda t: analytics.word_starts(t.documents, "the"), None)
-simple("doc_octet_stat", lambda t: metrics.octet_statistics(frames.vector(t.documents, "doc_id", "text")), None)
+# the same over whole documents
+_CHAR = "CH AS (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM documents WHERE text <> '')"
+_LEAD = "lead(c, {0}) OVER w"
+_FIVE = "G5 AS (SELECT c || " + " || ".join(_LEAD.format(k) for k in range(1, 5)) + " AS kmer FROM CH WINDOW w AS (PARTITION BY doc_id ORDER BY i)), H5 AS (SELECT kmer, count(*) AS cnt FROM G5 WHERE kmer IS NOT NULL GROUP BY 1)"
+simple("doc_kmer_counts", lambda t: analytics.kmer_counts(t.documents, 5), "SELECT kmer, cnt FROM H5", _CHAR, _FIVE)
+simple("doc_kmer_histogram", lambda t: analytics.kmer_histogram(t.documents, 5), "SELECT cnt, count(*) AS kinds FROM H5 GROUP BY 1", _CHAR, _FIVE)
+simple("doc_word_starts", lambda t: analytics.word_starts(t.documents, "the"), "SELECT doc_id, i AS start FROM (SELECT doc_id, i, c || lead(c, 1) OVER w || lead(c, 2) OVER w AS word FROM CH WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE word = 'the'", _CHAR)
+simple("doc_octet_stat", lambda t: metrics.octet_statistics(frames.vector(t.documents, "doc_id", "text")), "SELECT i AS pos, c AS ch, count(*) AS cnt FROM CH GROUP BY 1, 2", _CHAR)
 simple("doc_max_text_length", lambda t: t.documents.agg(F.max(F.length("text")).cast("long").alias("n")), "SELECT max(length(text)) AS n FROM documents")
+simple("ordered_index_numbers", lambda t: ordering.ordered_index(t.part.select(F.col("p_retailprice").alias("value")).distinct(), "value"), "SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT DISTINCT p_retailprice AS value FROM part)")
+
+
+# stored frames: written to the shared folder, read again
+def stored(t: Tables, write, frame: DataFrame, **options) -> str:
+    path = f"{ensure_folder(t.spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    write(frame, path, **options)
+    return path
+
+
+def text_of(t: Tables, lines: DataFrame) -> str:
+    """lines: one column of text."""
+    return stored(t, lambda df, path: df.write.text(path), lines)
+
+
+simple("stored_set", lambda t: readers.read_set(t.spark, stored(t, writers.write_set, t.A)), "SELECT id FROM A", A)
+simple("stored_set_level", lambda t: readers.read_set(t.spark, stored(t, writers.write_set, t.A, codec="zstd", level=9)), "SELECT id FROM A", A)
+simple("stored_set_plain", lambda t: readers.read_set(t.spark, stored(t, writers.write_set, t.A, codec="none")), "SELECT id FROM A", A)
+simple("stored_set_range", lambda t: readers.read_range(t.spark, stored(t, writers.write_set, t.A), 900, 100, "id"), "SELECT id FROM A WHERE id BETWEEN 100 AND 900", A)
+simple("stored_set_and", lambda t: sets.bit_and(readers.read_range(t.spark, stored(t, writers.write_set, t.A), 100, 9000, "id"), t.B), "SELECT id FROM A WHERE id BETWEEN 100 AND 9000 AND id IN (SELECT id FROM B)", A, B)
+simple("stored_vector", lambda t: readers.read_vector(t.spark, stored(t, writers.write_vector, t.V)), "SELECT idx, value FROM V", V)
+simple("stored_vector_float", lambda t: readers.read_vector(t.spark, stored(t, writers.write_vector, frames.vector(t.part, "p_partkey", "p_retailprice"))), "SELECT p_partkey AS idx, p_retailprice AS value FROM part")
+simple("stored_vector_text", lambda t: readers.read_vector(t.spark, stored(t, writers.write_vector, t.N)), "SELECT idx, value FROM N", N)
+simple("stored_range", lambda t: readers.read_range(t.spark, stored(t, writers.write_vector, t.V), 100, 900), "SELECT idx, value FROM V WHERE idx BETWEEN 100 AND 900", V)
+simple("stored_masked", lambda t: readers.read_masked(t.spark, stored(t, writers.write_vector, t.V), t.A), "SELECT idx, value FROM V WHERE idx IN (SELECT id FROM A)", V, A)
+simple("stored_structure", lambda t: t.spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in readers.read_structure(t.spark, stored(t, writers.write_vector, t.N))], "name string, kind string"), "SELECT * FROM (VALUES ('idx', 'bigint'), ('value', 'string')) x(name, kind)")
+simple("stored_links", lambda t: readers.read_stored_links(t.spark, stored(t, writers.write_links, t.L)), "SELECT DISTINCT src, dst FROM L", L)
+simple("stored_collection", lambda t: readers.read_collection(t.spark, stored(t, writers.write_collection, t.part.select(F.col("p_partkey").alias("key"), F.encode("p_name", "UTF-8").alias("val")))).select("key", F.hex("val").alias("val")), "SELECT p_partkey AS key, hex(encode(p_name)) AS val FROM part")
+simple("stored_packed", lambda t: packed.unpack(t.spark.read.parquet(stored(t, writers.write_packed, packed.pack(t.A)))), "SELECT id FROM A", A)
+simple("stored_size", lambda t: t.spark.createDataFrame([(writers.stored_size(stored(t, writers.write_set, t.A), t.A) > 0,)], "some boolean"), "SELECT TRUE AS some")
+simple("text_links", lambda t: readers.read_links(t.spark, text_of(t, t.L.select(F.concat_ws("\t", "src", "dst")))), "SELECT DISTINCT src, dst FROM L", L)
+simple("text_range_index", lambda t: readers.read_range_index(t.spark, text_of(t, t.orders.select(F.concat_ws(" ", F.lit("k"), "o_orderkey", F.expr("o_orderkey + o_custkey % 40 - 3"), "o_custkey")))), "SELECT 'k' AS id_from, o_orderkey AS start, o_custkey % 40 - 3 AS len, CAST(o_custkey AS VARCHAR) AS id_to FROM orders WHERE o_custkey % 40 >= 3")
+simple("text_positions_report", lambda t: readers.read_positions_report(t.spark, text_of(t, t.part.select(F.concat_ws("\t", F.concat(F.lit("rs"), "p_partkey"), F.lit("1"), F.expr("p_partkey * 3"))))), "SELECT p_partkey * 3 AS idx, p_partkey AS value FROM part")
+simple("text_dictionary", lambda t: readers.read_dictionary(t.spark, text_of(t, t.part.select(F.concat_ws("|", "p_partkey", "p_brand", F.lit("x"))))), "SELECT row_number() OVER (ORDER BY value) - 1 AS idx, value FROM (SELECT DISTINCT p_brand AS value FROM part)")

@@ -16,6 +16,16 @@ def read_vector(spark: SparkSession, path: str, idx: str = "idx", value: str = "
     return vector(spark.read.parquet(path), idx, value)
 
 
+def read_collection(spark: SparkSession, path: str) -> DataFrame:
+    """(key, val BINARY) as write_collection wrote it."""
+    return spark.read.parquet(path).select(F.col("key").cast("long").alias("key"), F.col("val").cast("binary").alias("val"))
+
+
+def read_stored_links(spark: SparkSession, path: str) -> DataFrame:
+    """Edges as write_links wrote them."""
+    return edges(spark.read.parquet(path), "src", "dst")
+
+
 def read_range(spark: SparkSession, path: str, left: int, right: int, column: str = "idx") -> DataFrame:
     """Only rows of a range; the bounds reach the Parquet scan."""
     left, right = (left, right) if left <= right else (right, left)
