@@ -9,7 +9,7 @@ its pairs; components of the forests come from alternating large-star and small-
 near_duplicates() and op4 link by that alone. keep_one(), the filter of a corpus, also takes texts whose sets of runs of
 five words have a Jaccard index of 0.8 or more. Such sets share one of their first runs in any fixed order of all runs
 (prefix filter), so texts are dealt by those; of buckets with the very same texts one stays. Neighbours of a bucket that
-are not yet connected are compared first, then all its pairs that are still not connected. Every step before the
+are not yet connected are compared first, in several orders, then all its pairs that are still not connected. Every step before the
 comparison drops only what cannot be alike, so no link is lost.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; null doc_ids never name a
@@ -41,6 +41,8 @@ RUN, ALIKE = 5, 0.8
 HOT = 200
 #: Runs a bin holds on average, in the counts by which pairs are sifted; pairs looked at at a time.
 BIN, BLOCK = 16, 1 << 20
+#: Orders in which the neighbours of a bucket are compared before all its pairs are.
+CHAINS = 2
 #: Rows whose trie joins one task runs at a time.
 CHUNK = 200_000
 
@@ -311,17 +313,19 @@ def may_be_alike(n1, at1, n2, at2, least: float):
     return both * (1 + least) >= least * (n1 + n2) - 1e-6
 
 
-def bucket_pairs(buckets: DataFrame, least: float, chain: bool) -> DataFrame:
-    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b) of different components: neighbours, or all."""
+def bucket_pairs(buckets: DataFrame, least: float, chain: int | None) -> DataFrame:
+    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b) of different components: neighbours in the chain-th order, or all."""
 
     def run(batches):
         for batch in batches:
             for bucket in batch.column(0):
                 node, n, at, comp = (c.to_numpy(zero_copy_only=False) for c in bucket.values.flatten())
                 n, at = n.astype(np.int64), at.astype(np.int64)
-                order = np.lexsort((node, comp)) if chain else np.argsort(n, kind="stable")
+                with np.errstate(over="ignore"):
+                    mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7 * (chain or 0))
+                order = np.argsort(n, kind="stable") if chain is None else np.argsort(mixed.astype(np.uint32), kind="stable")
                 node, n, at, comp = node[order], n[order], at[order], comp[order]
-                if chain:
+                if chain is not None:
                     ends = [(np.arange(len(node) - 1), np.arange(1, len(node)))]
                 else:  # a set's partners that are not smaller follow it, up to a size
                     stop = np.searchsorted(n, n / least + 1e-6, side="right")
@@ -414,15 +418,21 @@ def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
     def again(batches):
         for batch in batches:
-            firsts = [first_runs(run_set(t), least, known.value).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(firsts, pa.list_(pa.int64()))], ["m_node", "firsts"])
+            done: dict = {}
+            nodes, out = batch.column(0).to_pylist(), []
+            for node, text in zip(nodes, batch.column(1)):
+                if node not in done:
+                    runs = run_set(text.as_py())
+                    done[node] = len(runs), first_runs(runs, least, known.value).view(np.int64)
+                out.append(done[node])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int32()), pa.array([r for _, r in out], pa.list_(pa.int64()))], ["node", "n", "firsts"])
 
     # without a hot run among its first ones a text's first runs stay as they are
     moved = materialize(firsts.join(hot, "r", "left_semi").select(F.col("node").alias("m_id")).distinct(), "simhash-moved")
-    anew = texts_of(moved, texts).mapInArrow(again, "m_node long, firsts array<long>")
-    anew = anew.join(sets.select("node", "n"), F.col("m_node") == F.col("node")).select("node", "n", F.posexplode("firsts").alias("at", "r"))
-    rows = firsts.join(moved, firsts["node"] == moved["m_id"], "left_anti").unionByName(anew)
-    members = rows.groupBy("r").agg(F.collect_list(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
+    anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").mapInArrow(again, "node long, n int, firsts array<long>")
+    rows = firsts.join(moved, firsts["node"] == moved["m_id"], "left_anti").unionByName(anew.select("node", "n", F.posexplode("firsts").alias("at", "r")))
+    # a set, as equal texts of several rows are one node
+    members = rows.groupBy("r").agg(F.collect_set(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
     one = members.groupBy(F.xxhash64("m.node").alias("of"), F.size("m").alias("size")).agg(F.min_by("m", F.col("m")[0]["at"]).alias("m"))
     out = materialize(one.select("m"), "simhash-buckets")
     release(hot, moved)
@@ -448,13 +458,13 @@ def alike(known: DataFrame, texts: DataFrame, sure: DataFrame, least: float = AL
         return rows.filter(F.array_min("bucket.comp") < F.array_max("bucket.comp")).select("bucket")
 
     roots = materialize(components(sure.unionByName(same)), "simhash-roots")
-    first = compared(bucket_pairs(buckets(roots), least, True), sets, texts, least)
-    release(roots)
-    roots = materialize(components(sure.unionByName(same).unionByName(first)), "simhash-roots")
-    second = compared(bucket_pairs(buckets(roots), least, False), sets, texts, least)
-    out = materialize(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(second), "simhash-links")
-    release(one, same, held, roots, first, second)
-    return out
+    for order in range(CHAINS + 1):  # the last time all pairs of different components
+        found = compared(bucket_pairs(buckets(roots), least, order if order < CHAINS else None), sets, texts, least)
+        edges = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(found)
+        before, roots = roots, materialize(components(edges), "simhash-roots") if order < CHAINS else materialize(edges, "simhash-links")
+        release(before, found)
+    release(one, same, held)
+    return roots
 
 
 def near_copies(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
