@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: With this set, Spark drops an execution's shuffle files as soon as it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: A word is a run of anything but ASCII white space. Java's regular expressions.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -64,10 +66,18 @@ def delete_path(spark: SparkSession, path: str) -> None:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage is cut, a lost executor costs nothing that is written."""
+    """df written to the shared folder and read back: lineage is cut, a lost executor costs nothing that is written.
+
+    The shuffle files of the write go with it, as only the written rows are read from then on.
+    """
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
