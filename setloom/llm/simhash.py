@@ -40,7 +40,7 @@ RUN, ALIKE = 5, 0.8
 #: Runs that more texts than this have among their first ones come last in the order of runs.
 HOT = 200
 #: Runs a bin holds on average, in the counts by which pairs are sifted; pairs looked at at a time.
-BIN, BLOCK = 16, 1 << 20
+BIN, BLOCK = 4, 1 << 20
 #: Orders in which the neighbours of a bucket are compared before all its pairs are.
 CHAINS = 2
 #: Rows whose trie joins one task runs at a time.
@@ -431,8 +431,8 @@ def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     moved = materialize(firsts.join(hot, "r", "left_semi").select(F.col("node").alias("m_id")).distinct(), "simhash-moved")
     anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").mapInArrow(again, "node long, n int, firsts array<long>")
     rows = firsts.join(moved, firsts["node"] == moved["m_id"], "left_anti").unionByName(anew.select("node", "n", F.posexplode("firsts").alias("at", "r")))
-    # a set, as equal texts of several rows are one node
-    members = rows.groupBy("r").agg(F.collect_set(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
+    # dealt before they are gathered, as rows are half as wide as sets of one; a set, as equal texts of several rows are one node
+    members = rows.select("r", "node", "n", "at").repartition("r").groupBy("r").agg(F.collect_set(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
     one = members.groupBy(F.xxhash64("m.node").alias("of"), F.size("m").alias("size")).agg(F.min_by("m", F.col("m")[0]["at"]).alias("m"))
     out = materialize(one.select("m"), "simhash-buckets")
     release(hot, moved)
