@@ -88,7 +88,12 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         delete_path(df.sparkSession, df.written_to)
     if frames:
-        frames[0].sparkSession._jvm.System.gc()  # shuffle files go once the driver has collected what refers to them
+        tidy(frames[0].sparkSession)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Shuffle files of ended queries go once the driver has collected what refers to them; collects now."""
+    spark._jvm.System.gc()
 
 
 def input_bytes(df: DataFrame) -> int:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick, spread, word_count
+from .common import materialize, pick, spread, tidy, word_count
 
 #: Weights of the sources in code-point order, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -96,6 +96,7 @@ def mix_documents(docs: DataFrame, **options) -> DataFrame:
     Rows of equal doc_id, source and size are mixed as one item of their joint size, so each gets as many copies. A cut
     copy counts here as a copy if at least half of it is taken.
     """
+    tidy(docs.sparkSession)  # every text is about to be shuffled twice: make room first
     names = docs.columns
     inner = [f"c{i}" for i in range(len(names))]
     at = {n.lower(): i for i, n in reversed(list(enumerate(names)))}
