@@ -241,12 +241,14 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each is one grouped pass over the edges, and the edges shrink to stars.
     """
 
-    def mark(frame: DataFrame):
-        return frame.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    def stars(frame: DataFrame) -> bool:
+        """Has no node two parents, or a parent and a child? A step would leave such edges as they are."""
+        ends = frame.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(frame.select(F.col("v").alias("id"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
 
     edges = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = mark(edges)
-    while True:
+    while not stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -257,10 +259,8 @@ def components(edges: DataFrame) -> DataFrame:
         small = small.select(F.col("e.u").alias("u"), F.col("e.w").alias("v")).filter("u <> v").distinct()
         small = materialize(small, "cc-small")
         release(large)
-        after = mark(small)
-        if after == before:  # the edges are stars: a step leaves them as they are
-            return small.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(small.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
-        edges, before = small, after
+        edges = small
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("root"))).distinct()
 
 
 def near_duplicates(docs: DataFrame, errors: int = BITS, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
