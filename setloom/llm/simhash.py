@@ -39,6 +39,8 @@ LIMIT = 20_000
 RUN, ALIKE = 5, 0.8
 #: Runs that more texts than this have among their first ones come last in the order of runs.
 HOT = 200
+#: So many of these at most: the most frequent, as the driver sends them to all tasks.
+MOST_HOT = 1 << 20
 #: Runs a bin holds on average, in the counts by which pairs are sifted; pairs looked at at a time.
 BIN, BLOCK = 4, 1 << 20
 #: Orders in which the neighbours of a bucket are compared before all its pairs are.
@@ -406,14 +408,31 @@ def described(texts: DataFrame, shingle: int, least: float) -> DataFrame:
     return texts.select("node", "text").mapInArrow(run, "node long, fp long, key long, n int, bins binary, firsts array<long>")
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """r, count -> r: those of the highest counts, whole powers of two together, as many as fit. counts is materialized."""
+    step = F.floor(F.log2("count"))
+    least, held = 64, 0
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():  # 64 rows at most
+        held += row.n
+        if held > most:
+            break
+        least = row.step
+    out = counts.filter(step >= least).select("r")
+    out.written_to = counts.written_to
+    return out
+
+
 def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """node, n, firsts -> bucket: the nodes that have a run among their first ones, for every run that several have.
 
+    Which runs count as hot changes the order only: any order that all texts share loses no link.
+
     Many runs are held by the very same nodes; of those the first in the order of runs stays, as it is the first that any
     two of its nodes share there.
     """
     firsts = sets.select("node", "n", F.posexplode("firsts").alias("at", "r"))
-    hot = materialize(firsts.groupBy("r").count().filter(F.col("count") > HOT).select("r"), "simhash-hot-runs")
+    hot = materialize(firsts.groupBy("r").count().filter(F.col("count") > HOT), "simhash-hot-runs")
+    hot = most_frequent(hot, MOST_HOT)
     known = texts.sparkSession.sparkContext.broadcast(np.array([r.r for r in hot.toLocalIterator()], np.int64).view(np.uint64))
 
     def again(batches):

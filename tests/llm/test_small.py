@@ -148,10 +148,11 @@ def test_near_copies_behind_a_text_of_the_same_words(spark):
     assert got == {i: i if i % 10 == 0 else i // 10 * 10 + 1 for i in texts}
 
 
-@pytest.mark.parametrize("hot", [3, 200])
-def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot):
-    """Chains of edits, short texts against copies of other texts, and lines that many texts share."""
+@pytest.mark.parametrize("hot, most", [(3, 1 << 20), (200, 1 << 20), (3, 40)])
+def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot, most):
+    """Chains of edits, short texts against copies of other texts, and lines that many texts share; also with more hot runs than are sent."""
     monkeypatch.setattr(simhash, "HOT", hot)
+    monkeypatch.setattr(simhash, "MOST_HOT", most)
     rng = np.random.default_rng(9)
     shared = " ".join(f"licence{k}" for k in range(12))
     texts = {}
@@ -171,6 +172,19 @@ def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot):
     assert got == alike_groups(texts, fps)
 
 
+def test_most_frequent_takes_whole_powers_of_two_that_fit(spark):
+    counts = simhash.materialize(spark.createDataFrame([(r, c) for r, c in enumerate([5, 6, 7, 9, 12, 40, 41, 300])], "r long, count long"), "t")
+    for most, want in [(0, []), (1, [7]), (2, [7]), (3, [5, 6, 7]), (5, [3, 4, 5, 6, 7]), (7, [3, 4, 5, 6, 7]), (8, list(range(8)))]:
+        assert sorted(r.r for r in simhash.most_frequent(counts, most).collect()) == want
+
+
+def test_components_of_stars_chains_and_rings(spark):
+    edges = [(1, 2), (1, 3), (10, 11), (11, 12), (12, 13), (20, 21), (21, 22), (20, 22), (30, 31), (29, 31), (5, 5), (2, 1)]
+    got = {r.id: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 10: 10, 11: 10, 12: 10, 13: 10, 20: 20, 21: 20, 22: 20, 29: 29, 30: 29, 31: 29}
+    assert simhash.components(spark.createDataFrame([], "a long, b long")).isEmpty()
+
+
 def test_keep_one_keeps_unlike_texts_of_one_doc_id(spark):
     texts = [(1, "one text of a row " * 3), (1, "quite another text whose id is the same"), (1, "one text of a row " * 3), (2, "quite another text whose id is the same"), (3, "a third")]
     kept = simhash.keep_one(spark.createDataFrame(texts, "doc_id long, text string")).collect()
