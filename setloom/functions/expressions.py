@@ -42,17 +42,31 @@ def bit_of(value: str | Column, i: int) -> Column:
 
 
 def float_parts(value: str | Column) -> Column:
-    """Sign, exponent and mantissa of a float32 as a struct, from the number itself; NULL for NULL, infinities and NaN."""
+    """Raw sign, exponent and mantissa of a float32 as a struct, from the number itself; NULL for NULL.
+
+    Zero has both at 0, infinities have exponent 255 and mantissa 0, NaN is the one of mantissa 2^22.
+    """
     v = col(value).cast("float").cast("double")
-    a = F.abs(v)
+    fine = F.abs(v) < float("inf")
+    a = F.when(fine, F.abs(v)).otherwise(1.0)
     e = F.floor(F.log2(a))
     e = e + (a >= F.pow(F.lit(2.0), e + 1)).cast("long") - (a < F.pow(F.lit(2.0), e)).cast("long")
     normal = e >= -126
-    exponent = F.when(a == 0, 0).when(normal, e + 127).otherwise(0).cast("long")
+    exponent = F.when(~fine, 255).when(a == 0, 0).when(normal, e + 127).otherwise(0).cast("long")
     scaled = F.when(normal, a / F.pow(F.lit(2.0), e) - 1).otherwise(a / F.pow(F.lit(2.0), F.lit(-126)))
-    mantissa = F.when(a == 0, 0).otherwise(F.round(scaled * (1 << 23))).cast("long")
-    fine = v.isNotNull() & ~F.isnan(v) & (a < float("inf"))
-    return F.when(fine, F.struct((v < 0).cast("long").alias("sign"), exponent.alias("exponent"), mantissa.alias("mantissa")))
+    mantissa = F.when(F.isnan(v), 1 << 22).when(~fine | (a == 0), 0).otherwise(F.round(scaled * (1 << 23))).cast("long")
+    sign = F.startswith(v.cast("string"), F.lit("-")).cast("long")  # negative zero compares as zero
+    return F.when(v.isNotNull(), F.struct(sign.alias("sign"), exponent.alias("exponent"), mantissa.alias("mantissa")))
+
+
+def float_of(parts: str | Column) -> Column:
+    """The float32 of a struct as float_parts makes it."""
+    p = col(parts)
+    exponent, fraction = p["exponent"], p["mantissa"] / float(1 << 23)
+    scaled = F.when(exponent == 0, fraction * 2.0**-126).otherwise((1 + fraction) * F.pow(F.lit(2.0), exponent - 127))
+    special = F.when(p["mantissa"] == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))
+    size = F.when(exponent == 255, special).otherwise(scaled)
+    return F.when(p["sign"] == 1, -size).otherwise(size).cast("float")
 
 
 def clip_high(value: str | Column, h: int) -> Column:

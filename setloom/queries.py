@@ -302,7 +302,7 @@ simple("signed_code", lambda t: t.W.select("idx", fn.signed_code("value").alias(
 simple("number_octet", lambda t: t.W.select("idx", fn.number_octet("value", 1).alias("octet")), f"SELECT idx, ({CODE.format('value')} >> 8) & 255 AS octet FROM W", W)
 simple("text_octet", lambda t: t.N.select("idx", fn.octet("value", 2).alias("octet")), "SELECT idx, CASE WHEN length(coalesce(value, '')) > 2 THEN ascii(substr(value, 3, 1)) ELSE 0 END AS octet FROM N", N)
 simple("compare_octet", lambda t: t.N.select("idx", fn.compare_octet("value", 0, 109).alias("cmp")), "SELECT idx, CASE WHEN coalesce(value, '') = '' THEN -1 ELSE CAST(sign(ascii(substr(value, 1, 1)) - 109) AS INTEGER) END AS cmp FROM N", N)
-simple("float_parts", lambda t: t.X.filter("value IS NOT NULL").select("idx", "value", fn.float_parts("value").alias("p")).select("idx", F.expr("cast((1 - 2 * p.sign) * pow(2D, p.exponent - 127) * (1 + p.mantissa / pow(2D, 23)) AS float) = value").alias("same")), "SELECT idx, TRUE AS same FROM X WHERE value IS NOT NULL", X)
+simple("float_parts", lambda t: t.X.filter("value IS NOT NULL").select("idx", "value", fn.float_parts("value").alias("p")).select("idx", (fn.float_of("p") == F.col("value")).alias("same")), "SELECT idx, TRUE AS same FROM X WHERE value IS NOT NULL", X)
 simple("substr_decode", lambda t: vectors.substring(t.N, 2, 5), "SELECT idx, substr(value, 3, 4) AS value FROM N", N)
 simple("rsc_load_from", lambda t: vectors.drop_nulls(t.V), "SELECT * FROM V WHERE value IS NOT NULL", V)
 simple("rsc_load_to", lambda t: vectors.fill_nulls(vectors.drop_nulls(t.V), 200000), "SELECT range AS idx, value FROM range(200000) LEFT JOIN V ON range = idx", V)

@@ -48,6 +48,23 @@ def test_floats(spark):
     assert ids(search.find_range_open(v, 2.0, -2.0)) == {1, 2, 3, 4}
 
 
+def test_float_parts_are_the_raw_bits_and_give_the_number_back(spark):
+    raw = [0, 1 << 31, 1, 0x807FFFFF, 0x00800000, 0x3F800000, 0xC2280000, 0x7F7FFFFF, 0x7F800000, 0xFF800000, 0x7FC00000]
+    values = [struct.unpack("<f", struct.pack("<I", r))[0] for r in raw]
+    v = frames.vector_of(spark, [*values, None], "float")
+    got = v.select("idx", fn.float_parts("value").alias("p"), "value").select("*", fn.float_of("p").alias("back"), (fn.float_of("p") == F.col("value")).alias("same")).orderBy("idx").collect()
+    assert [r.p.sign << 31 | r.p.exponent << 23 | r.p.mantissa for r in got[:-1]] == raw
+    assert [struct.pack("<f", r.back) for r in got[:-1]] == [struct.pack("<I", r) for r in raw]
+    assert all(r.same for r in got[:-1]) and got[-1].p is None and got[-1].back is None
+
+
+def test_float_parts_query_holds_for_zero(spark, tmp_path):
+    from setloom.queries import QUERIES
+
+    spark.createDataFrame([(1, 0.0), (2, -0.0), (3, 2.5), (4, None)], "event_id long, value double").write.parquet(str(tmp_path / "events.parquet"))
+    assert {(r.idx, r.same) for r in QUERIES["float_parts"](spark, str(tmp_path)).collect()} == {(1, True), (2, True), (3, True)}
+
+
 def test_mismatch_rules(spark):
     a = frames.vector_of(spark, [1, None, 3, None, 5, None])
     b = frames.vector_of(spark, [1, None, None, 4, 6, None, 7, None])
