@@ -8,8 +8,9 @@ its pairs; components of the forests come from alternating large-star and small-
 
 near_duplicates() and op4 link by that alone. keep_one(), the filter of a corpus, also takes texts whose sets of runs of
 five words have a Jaccard index of 0.8 or more. Such sets share one of their first runs in any fixed order of all runs
-(prefix filter), so texts are dealt by those; of buckets with the very same texts one stays. Neighbours of a bucket that
-are not yet connected are compared first, in several orders, then all its pairs that are still not connected. Every step before the
+(prefix filter), so texts are dealt by those; of buckets with the very same texts one stays. A bucket's text with the fewest
+runs of its own before the common one is compared with all others first, as edited copies are alike to the text they
+were made from; then neighbours that are not yet connected, then all pairs that are still not connected. Every step before the
 comparison drops only what cannot be alike, so no link is lost.
 
 Defined results: null or empty text has fingerprint zero and is linked like any other; null doc_ids never name a
@@ -43,7 +44,9 @@ HOT = 200
 MOST_HOT = 1 << 20
 #: Runs a bin holds on average, in the counts by which pairs are sifted; pairs looked at at a time.
 BIN, BLOCK = 4, 1 << 20
-#: Orders in which the neighbours of a bucket are compared before all its pairs are.
+#: Rounds in which further hot runs are looked for in the texts that hold some, while there are new ones in so many times HOT.
+ROUNDS, FURTHER = 8, 4
+#: Orders in which a bucket is compared, its centre with all and then neighbours, before all its pairs are.
 CHAINS = 2
 #: Rows whose trie joins one task runs at a time.
 CHUNK = 200_000
@@ -281,14 +284,20 @@ def run_set(text: str | None, run: int = RUN) -> np.ndarray:
 
 
 def first_runs(runs: np.ndarray, least: float, hot: np.ndarray | None = None) -> np.ndarray:
-    """So many of the runs that a set alike by least shares one; in the order of hashes, hot ones last."""
+    """So many of the runs that a set alike by least shares one; in the order of hashes, hot ones (ascending) last."""
     many = len(runs) - math.ceil(least * len(runs) - 1e-9) + 1 if len(runs) else 0
     if hot is not None and len(runs):
-        at = np.isin(runs, hot)
+        at = held_in(runs, hot)
         runs = np.concatenate([runs[~at], runs[at]])
     return runs[:many]
 
 
+def held_in(runs: np.ndarray, sorted_runs: np.ndarray) -> np.ndarray:
+    if not len(sorted_runs):
+        return np.zeros(len(runs), bool)
+    return sorted_runs[np.minimum(np.searchsorted(sorted_runs, runs), len(sorted_runs) - 1)] == runs
+
+
 def bins_of(runs: np.ndarray) -> bytes:
     """Counts of runs by their lowest bits; 255 stands for more."""
     size = 1 << max(6, (len(runs) // BIN).bit_length())
@@ -316,7 +325,7 @@ def may_be_alike(n1, at1, n2, at2, least: float):
 
 
 def bucket_pairs(buckets: DataFrame, least: float, chain: int | None) -> DataFrame:
-    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b) of different components: neighbours in the chain-th order, or all."""
+    """bucket: array of (node, n, at, comp) -> distinct pairs (a, b) of different components: the centre with each (chain 0), neighbours in the chain-th order, or all."""
 
     def run(batches):
         for batch in batches:
@@ -327,7 +336,9 @@ def bucket_pairs(buckets: DataFrame, least: float, chain: int | None) -> DataFra
                     mixed = (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(7 * (chain or 0))
                 order = np.argsort(n, kind="stable") if chain is None else np.argsort(mixed.astype(np.uint32), kind="stable")
                 node, n, at, comp = node[order], n[order], at[order], comp[order]
-                if chain is not None:
+                if chain == 0:  # the fewest runs of its own before the common one: of edited copies the least edited
+                    ends = [(np.full(len(node), np.lexsort((node, n, at))[0]), np.arange(len(node)))]
+                elif chain is not None:
                     ends = [(np.arange(len(node) - 1), np.arange(1, len(node)))]
                 else:  # a set's partners that are not smaller follow it, up to a size
                     stop = np.searchsorted(n, n / least + 1e-6, side="right")
@@ -422,6 +433,57 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return out
 
 
+def hot_runs(sets: DataFrame, texts: DataFrame, least: float):
+    """node, firsts -> the hot runs, ascending, as a broadcast, and the nodes (m_id) that have one among their first ones.
+
+    With some runs moved to the end, others of the same passage become first ones of the texts that share it, so these are
+    counted again, until hardly any is hot: else a long passage deals its texts to one bucket after all.
+    """
+    context = texts.sparkSession.sparkContext
+
+    def counted(runs: DataFrame, room: int) -> tuple[np.ndarray, int]:
+        """Hot ones of node, r, and how many nodes the most frequent has."""
+        counts = materialize(runs.groupBy("r").agg(F.count("*").alias("count")).filter(F.col("count") > HOT), "simhash-hot-runs")
+        new = np.array([r.r for r in most_frequent(counts, room).toLocalIterator()], np.int64).view(np.uint64)
+        most = counts.agg(F.max("count")).first()[0] or 0
+        release(counts)
+        return new, most
+
+    hot, most = counted(sets.select(F.explode("firsts").alias("r")), MOST_HOT)
+    for last in [False] * ROUNDS + [True]:
+        hot = np.sort(hot)
+        known = context.broadcast(hot)
+
+        def touched(batches, known=known):
+            for batch in batches:
+                lists = batch.column(1)
+                at = held_in(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), known.value)
+                sums = np.concatenate([[0], np.cumsum(at)])
+                ends = np.cumsum(np.fromiter((n or 0 for n in lists.value_lengths().to_pylist()), np.int64, len(lists)))
+                any_ = np.diff(sums[ends], prepend=0) > 0
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(any_))], ["m_id"])
+
+        def others(batches, known=known):
+            done: set = set()
+            for batch in batches:
+                for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    if node not in done:
+                        done.add(node)
+                        runs = first_runs(run_set(text.as_py()), least, known.value)
+                        runs = runs[~held_in(runs, known.value)].view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), node, np.int64)), pa.array(runs)], ["node", "r"])
+
+        moved = materialize(sets.select("node", "firsts").mapInArrow(touched, "m_id long"), "simhash-moved")
+        if last or most <= FURTHER * HOT or len(hot) >= MOST_HOT:
+            return known, moved
+        anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").mapInArrow(others, "node long, r long")
+        new, most = counted(anew.repartition("r").distinct(), MOST_HOT - len(hot))
+        if not len(new):
+            return known, moved
+        release(moved)
+        hot = np.concatenate([hot, new])
+
+
 def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """node, n, firsts -> bucket: the nodes that have a run among their first ones, for every run that several have.
 
@@ -431,9 +493,7 @@ def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     two of its nodes share there.
     """
     firsts = sets.select("node", "n", F.posexplode("firsts").alias("at", "r"))
-    hot = materialize(firsts.groupBy("r").count().filter(F.col("count") > HOT), "simhash-hot-runs")
-    hot = most_frequent(hot, MOST_HOT)
-    known = texts.sparkSession.sparkContext.broadcast(np.array([r.r for r in hot.toLocalIterator()], np.int64).view(np.uint64))
+    known, moved = hot_runs(sets, texts, least)
 
     def again(batches):
         for batch in batches:
@@ -447,14 +507,13 @@ def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int32()), pa.array([r for _, r in out], pa.list_(pa.int64()))], ["node", "n", "firsts"])
 
     # without a hot run among its first ones a text's first runs stay as they are
-    moved = materialize(firsts.join(hot, "r", "left_semi").select(F.col("node").alias("m_id")).distinct(), "simhash-moved")
     anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").mapInArrow(again, "node long, n int, firsts array<long>")
     rows = firsts.join(moved, firsts["node"] == moved["m_id"], "left_anti").unionByName(anew.select("node", "n", F.posexplode("firsts").alias("at", "r")))
     # dealt before they are gathered, as rows are half as wide as sets of one; a set, as equal texts of several rows are one node
     members = rows.select("r", "node", "n", "at").repartition("r").groupBy("r").agg(F.collect_set(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
     one = members.groupBy(F.xxhash64("m.node").alias("of"), F.size("m").alias("size")).agg(F.min_by("m", F.col("m")[0]["at"]).alias("m"))
     out = materialize(one.select("m"), "simhash-buckets")
-    release(hot, moved)
+    release(moved)
     return out
 
 

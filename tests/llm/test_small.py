@@ -172,6 +172,23 @@ def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot,
     assert got == alike_groups(texts, fps)
 
 
+def test_pairs_of_near_copies_follow_their_number(spark, monkeypatch):
+    """Edited copies of one text are compared with the text, not each with each, though all its runs are common."""
+    monkeypatch.setattr(simhash, "HOT", 15)
+    rng = np.random.default_rng(10)
+    base, texts = [f"b{x}" for x in range(150)], {0: " ".join(f"b{x}" for x in range(150))}
+    for i in range(1, 300):
+        copy = list(base)
+        for at in rng.choice(150, rng.integers(1, 8), replace=False):
+            copy[at] = f"e{i}x{at}"
+        texts[i] = " ".join(copy)
+    asked, compared = [], simhash.compared
+    monkeypatch.setattr(simhash, "compared", lambda pairs, *rest: asked.append(pairs.count()) or compared(pairs, *rest))
+    got = {r.doc_id: r.component_id for r in simhash.near_copies(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == alike_groups(texts, {i: model_fingerprint(t) for i, t in texts.items()})
+    assert asked[0] > 0 and sum(asked) < 10 * len(texts)
+
+
 def test_most_frequent_takes_whole_powers_of_two_that_fit(spark):
     counts = simhash.materialize(spark.createDataFrame([(r, c) for r, c in enumerate([5, 6, 7, 9, 12, 40, 41, 300])], "r long, count long"), "t")
     for most, want in [(0, []), (1, [7]), (2, [7]), (3, [5, 6, 7]), (5, [3, 4, 5, 6, 7]), (7, [3, 4, 5, 6, 7]), (8, list(range(8)))]:
