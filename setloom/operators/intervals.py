@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,31 +49,68 @@ def around_many(a: DataFrame, probes: DataFrame) -> DataFrame:
     return hits.join(runs, "g").select("probe", "start", "stop")
 
 
+class Plane:
+    """Runs of one plane. Proper ones overlap nothing, so their starts and stops ascend together; odd ones (a NULL end, stop before start) are looked at one by one."""
+
+    __slots__ = ("starts", "stops", "odd")
+
+    def __init__(self):
+        self.starts, self.stops, self.odd = [], [], []
+
+    def free(self, s, e) -> bool:
+        at = bisect_right(self.starts, e)
+        return (not at or self.stops[at - 1] < s) and all(e < x or s > y for x, y in self.odd)
+
+    def free_of_all(self, s, e) -> bool:
+        """The same for an odd run."""
+        return all(e < x or s > y for x, y in zip(self.starts, self.stops)) and all(e < x or s > y for x, y in self.odd)
+
+    def put(self, s, e, odd: bool) -> None:
+        if odd:
+            self.odd.append((s, e))
+        else:
+            at = bisect_right(self.starts, s)
+            self.starts.insert(at, s)
+            self.stops.insert(at, e)
+
+
+#: Stands for a NULL end: neither below nor above anything.
+NO_END = float("nan")
+
+
 def lay_out(runs: DataFrame, group: str) -> DataFrame:
     """First-fit layout inside each group, in order of `ord`: the first plane where (start, stop) overlaps nothing.
 
-    Each placement depends on those before it, so a group is placed in one task.
+    Each placement depends on those before it, so a group is placed in one task. A task's groups come as one sorted
+    stream and only the planes of the group at hand are held. A NULL end is never beyond or before another run's end; NULL
+    `ord`, start and stop come last.
     """
-    import pandas as pd
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ord", "start", "stop"])
-        planes: list[list[tuple[int, int]]] = []
-        out = []
-        for s, e in zip(pdf["start"], pdf["stop"]):
-            for k, plane in enumerate(planes):
-                if all(e < x or s > y for x, y in plane):
-                    break
-            else:
-                k = len(planes)
-                planes.append([])
-            planes[k].append((s, e))
-            out.append(k)
-        pdf["plane"] = out
-        return pdf[[group, "start", "stop", "plane"]]
+
+    def place(batches):
+        last, planes = None, None
+        for batch in batches:
+            keys, starts, stops = (batch.column(k).to_pylist() for k in range(3))
+            out = []
+            for key, s, e in zip(keys, starts, stops):
+                if planes is None or key != last and (key == key or last == last):  # a NaN is the same group as a NaN
+                    last, planes = key, []
+                odd = s is None or e is None or e < s
+                if odd:
+                    s, e = NO_END if s is None else s, NO_END if e is None else e
+                for k, plane in enumerate(planes):
+                    if plane.free_of_all(s, e) if odd else plane.free(s, e):
+                        break
+                else:
+                    k, plane = len(planes), Plane()
+                    planes.append(plane)
+                plane.put(s, e, odd)
+                out.append(k)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], [group, "start", "stop", "plane"])
 
     kind = runs.schema[group].dataType.simpleString()
-    return runs.select(group, "ord", "start", "stop").groupBy(group).applyInPandas(place, f"{group} {kind}, start long, stop long, plane long")
+    order = [group, *(F.col(c).asc_nulls_last() for c in ("ord", "start", "stop"))]
+    rows = runs.select(group, "ord", "start", "stop").repartition(group).sortWithinPartitions(*order)
+    return rows.select(group, F.col("start").cast("long"), F.col("stop").cast("long")).mapInArrow(place, f"{group} {kind}, start long, stop long, plane long")
 
 
 def splice(layers: DataFrame, left: int, right: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from setloom.operators import frames, intervals, metrics, multi, navigation, packed, position, rank, relations, sets
@@ -124,3 +125,24 @@ def test_exact_sample(spark):
     one, two = ids(navigation.sample(x, 10)), ids(navigation.sample(x, 10))
     assert one == two and len(one) == 10
     assert ids(navigation.sample(x, 2000)) == set(range(1000))
+
+
+def test_layout_against_brute_force_in_one_stream(spark):
+    """Groups of one run, large groups, NULL groups and ends, runs that stop before they start; no call for each group."""
+    rng = np.random.default_rng(4)
+    rows = [(int(g) if g else None, i, int(s), int(s + w)) for i, (g, s, w) in enumerate(zip(rng.integers(0, 40, 900), rng.integers(0, 200, 900), rng.integers(-2, 30, 900)))]
+    rows += [(100 + i, 0, i, i + 3) for i in range(300)] + [(7, 1000, None, 5), (7, 1001, 3, None), (7, 1002, 1, 9)]
+    frame = spark.createDataFrame(rows, "g long, ord long, start long, stop long")
+    out = intervals.lay_out(frame, "g")
+    assert "FlatMapGroups" not in out._jdf.queryExecution().toString()
+    want, planes = [], {}
+    nan = float("nan")
+    for g, _, s, e in sorted(rows, key=lambda r: r[1]):
+        x, y = (nan if s is None else s), (nan if e is None else e)
+        held = planes.setdefault(g, [])
+        k = next((k for k, p in enumerate(held) if all(y < a or x > b for a, b in p)), len(held))
+        if k == len(held):
+            held.append([])
+        held[k].append((x, y))
+        want.append((g, s, e, k))
+    assert sorted(map(repr, map(tuple, out.collect()))) == sorted(map(repr, want))
