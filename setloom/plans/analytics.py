@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,14 +49,87 @@ def kmers(docs: DataFrame, k: int, text: str | Column = "text", key: str = "doc_
     return docs.select(key, F.posexplode(bound(chars, grams)).alias("pos", "kmer"))
 
 
-def kmer_counts(docs: DataFrame, k: int, **where) -> DataFrame:
-    return kmers(docs, k, **where).groupBy("kmer").agg(F.count("*").alias("cnt"))
+#: Places a task counts k-mers of at a time.
+PLACES = 1 << 23
+
+
+def ranked_windows(codes: np.ndarray, k: int, letters: int) -> np.ndarray:
+    """For each window of k codes below letters a number that equal windows alone share."""
+    n = len(codes) - k + 1
+    bits = max(1, (letters - 1).bit_length())
+    key, width = np.zeros(n, np.uint64), 0
+    for i in range(k):
+        if width + bits > 64:  # numbered anew, as what has been packed takes at most n values
+            key = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+            width = int(max(1, n - 1)).bit_length()
+        key = (key << np.uint64(bits)) | codes[i : i + n]
+        width += bits
+    return key
+
+
+def counted_kmers(points: np.ndarray, left: np.ndarray, k: int) -> pa.RecordBatch:
+    """kmer, cnt of code points; left: how many of its text each still has, itself included."""
+    at = np.flatnonzero(left[: max(0, len(points) - k + 1)] >= k)
+    if not len(at):
+        return pa.RecordBatch.from_arrays([pa.array([], pa.string()), pa.array([], pa.int64())], ["kmer", "cnt"])
+    seen = np.flatnonzero(np.bincount(points))
+    table = np.zeros(int(seen[-1]) + 1, np.uint64)
+    table[seen] = np.arange(len(seen), dtype=np.uint64)
+    bits = max(1, (len(seen) - 1).bit_length())
+    key = ranked_windows(table[points], k, len(seen))[at]
+    if k * bits <= 64:  # a window's number holds its letters
+        key.sort()
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        cnt, key = np.diff(first, append=len(key)), key[first]
+        shifts = np.arange(k - 1, -1, -1, dtype=np.uint64) * np.uint64(bits)
+        chars = seen[((key[:, None] >> shifts) & np.uint64((1 << bits) - 1)).astype(np.int64)]
+    else:
+        _, first, cnt = np.unique(key, return_index=True, return_counts=True)
+        chars = points[at[first][:, None] + np.arange(k)]
+    size = 1 + (chars >= 0x80).astype(np.int32) + (chars >= 0x800) + (chars >= 0x10000)
+    data = chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
+    ends = np.concatenate([[0], np.cumsum(size.sum(axis=1))]).astype(np.int64)
+    kmer = pa.LargeStringArray.from_buffers(len(cnt), pa.py_buffer(ends), pa.py_buffer(data)).cast(pa.string())
+    return pa.RecordBatch.from_arrays([kmer, pa.array(cnt, pa.int64())], ["kmer", "cnt"])
+
+
+def kmer_counts(docs: DataFrame, k: int, text: str | Column = "text", key: str = "doc_id") -> DataFrame:
+    """(kmer, cnt) of all substrings of k characters; a task counts those of millions of places before any becomes a row."""
+
+    def points_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Code points of texts of UTF-8 in one row, and how many of its text each still has."""
+        one = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts]
+        sizes = np.array([len(p) for p in one], np.int64)
+        points = np.concatenate(one)
+        return points, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            for value in batch.column(0):
+                held.append(value.as_py())
+                n += len(held[-1])
+                if n >= PLACES:
+                    yield from counted(held)
+                    held, n = [], 0
+        if held:
+            yield from counted(held)
+
+    def counted(texts: list[bytes]):
+        points, left = points_of(texts)
+        for start in range(0, len(points), PLACES):  # a text of any length; windows reach over the cut
+            stop = start + PLACES + k - 1
+            yield counted_kmers(points[start:stop], left[start:stop], k)
+
+    t = F.col(text) if isinstance(text, str) else text
+    some = docs.select(t.cast("string").cast("binary").alias("t")).filter(F.length("t") >= k)
+    return some.mapInArrow(run, "kmer string, cnt long").groupBy("kmer").agg(F.sum("cnt").alias("cnt"))
 
 
 def kmer_presence(docs: DataFrame, k: int, alphabet: str = "acgt", **where) -> DataFrame:
     """(code): k-mers over an alphabet as numbers, the first letter lowest."""
     bits = max(1, (len(alphabet) - 1).bit_length())
-    grams = kmers(docs, k, **where).select(F.lower("kmer").alias("kmer")).distinct()
+    grams = kmer_counts(docs, k, **where).select(F.lower("kmer").alias("kmer")).distinct()
     code = sum((F.shiftleft((F.instr(F.lit(alphabet), F.substring("kmer", i + 1, 1)) - 1).cast("long"), bits * i) for i in range(k)), F.lit(0).cast("long"))
     return grams.filter(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$")).select(code.alias("id")).distinct()
 

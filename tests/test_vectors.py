@@ -115,6 +115,28 @@ def test_texts(spark):
     assert {r.value: r.idx for r in order.collect()} == {x: i for i, x in enumerate(sorted(["b", "a", "ab", "é", ""], key=lambda s: s.encode()))}
 
 
+@pytest.mark.parametrize("k, places", [(1, 1 << 23), (3, 7), (5, 1 << 23), (5, 40), (30, 50)])
+def test_kmer_counts_against_brute_force(spark, monkeypatch, k, places):
+    monkeypatch.setattr(analytics, "PLACES", places)
+    texts = ["", None, "ab", "abcabcabcabc", "é€😀" * 15, "zzzzzzzzz", "a😀", "x" * 70, "".join(chr(0x4E00 + i * 7 % 900) for i in range(400)) * 2]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = {}
+    for t in texts:
+        for i in range(len(t or "") - k + 1):
+            want[t[i : i + k]] = want.get(t[i : i + k], 0) + 1
+    rows = analytics.kmer_counts(docs, k).collect()
+    assert len(rows) == len(want) and {r.kmer: r.cnt for r in rows} == want
+
+
+def test_kmers_become_rows_only_when_counted():
+    """One letter over and over: a place is no row."""
+    import numpy as np
+
+    left = np.arange(100_000, 0, -1)
+    got = analytics.counted_kmers(np.full(100_000, 97, np.uint32), left, 5).to_pylist()
+    assert got == [{"kmer": "aaaaa", "cnt": 99_996}]
+
+
 def test_leaders(spark):
     sets = {"a": {1, 2, 3}, "b": {1, 2, 3, 4}, "c": {3, 4, 5, 6}, "d": {1, 2, 3, 4}, "e": {9}}
     frame = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "set_id string, id long")
