@@ -137,6 +137,13 @@ def test_kmers_become_rows_only_when_counted():
     assert got == [{"kmer": "aaaaa", "cnt": 99_996}]
 
 
+def test_kmer_histogram_makes_no_row_for_each_place(spark):
+    docs = spark.createDataFrame([(1, "ababab"), (2, "abc"), (3, None)], "doc_id long, text string")
+    got = analytics.kmer_histogram(docs, 2)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert {r.cnt: r.kinds for r in got.collect()} == {4: 1, 2: 1, 1: 1}
+
+
 def test_leaders(spark):
     sets = {"a": {1, 2, 3}, "b": {1, 2, 3, 4}, "c": {3, 4, 5, 6}, "d": {1, 2, 3, 4}, "e": {9}}
     frame = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "set_id string, id long")
