@@ -16,7 +16,6 @@ import os
 import re
 import uuid
 import zlib
-from collections import ChainMap
 
 import numpy as np
 import public_tokenizers
@@ -51,6 +50,12 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = kind
         self.known: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        top = max(vocabulary.values(), default=0) + 1
+        #: Which ids begin with a space, and with a line's end, in the alphabet of bytes.
+        self.begins = [np.zeros(top, bool), np.zeros(top, bool)]
+        for token, i in vocabulary.items():
+            self.begins[0][i], self.begins[1][i] = token.startswith("Ġ"), token.startswith("Ċ")
 
     def pack(self, ids: list[int]) -> bytes:
         return np.array(ids, self.kind).tobytes()
@@ -64,38 +69,39 @@ class Encoder:
         spaced = [p for p in new if p[0] == " " and not p.isspace()]
         tight = [p for p in new if not p[0].isspace()]
         own: dict[str, bytes] = {}
-        self.learn(own, spaced, "".join(spaced), 1)
-        self.learn(own, tight, "\n" + "\n".join(tight), 2)
+        self.learn(own, spaced, "".join(spaced), self.begins[0], 0)
+        self.learn(own, tight, "\n" + "\n".join(tight), self.begins[1], 1)
         for piece in new.difference(own):
             own[piece] = self.pack(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-        if len(known) < MEMORY:  # frequent pieces come early
-            known.update(own)
-            find = known.__getitem__
-        else:
-            both = ChainMap(own, known)
-            find = both.__getitem__
+        full = len(known) >= MEMORY  # frequent pieces come early
+        known.update(own)
+        find = known.__getitem__
         out = []
         for text, pieces in zip(texts, cut):
             if pieces is not None:
                 out.append(b"".join(map(find, pieces)))
             else:
                 out.append(self.pack(self.tokenizer.encode(text, add_special_tokens=False).ids) if text else b"")
+        if full:
+            for piece in own:
+                del known[piece]
         return out
 
-    def learn(self, own: dict[str, bytes], new: list[str], joined: str, step: int) -> None:
+    def learn(self, own: dict[str, bytes], new: list[str], joined: str, begins: np.ndarray, skip: int) -> None:
         """Encodes many pieces in one call: a space or a line's end before each keeps the library's cuts where they were.
 
-        Each step-th piece the library cuts is one of ours; should their number differ, nothing is learned here.
+        Only the first id of a piece begins with its space; skip: ids of a line's end, itself no part of a piece. Should
+        the number of pieces differ, or a line's end be joined with what follows, nothing is learned here.
         """
         if not new:
             return
-        got = self.tokenizer.encode(joined, add_special_tokens=False)
-        ids, of = np.array(got.ids, self.kind), np.array(got.word_ids)
-        edge = np.flatnonzero(np.diff(of, prepend=-1, append=-1)).tolist()
-        if len(edge) - 1 == step * len(new):
-            raw, width = ids.tobytes(), ids.itemsize
-            starts, ends = edge[step - 1 : -1 : step], edge[step::step]
-            own.update((p, raw[a * width : b * width]) for p, a, b in zip(new, starts, ends))
+        ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.int64)
+        edge = np.append(np.flatnonzero(begins[ids]), len(ids))
+        sizes = np.diff(edge) - skip
+        if len(sizes) == len(new) and edge[0] == 0 and sizes.min() > 0 and (not skip or len(np.unique(ids[edge[:-1]])) == 1):
+            raw, width = ids.astype(self.kind).tobytes(), np.dtype(self.kind).itemsize
+            starts, ends = ((edge[:-1] + skip) * width).tolist(), (edge[1:] * width).tolist()
+            own.update((p, raw[a:b]) for p, a, b in zip(new, starts, ends))
 
 
 _ENCODERS: dict[tuple, Encoder] = {}

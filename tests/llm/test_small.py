@@ -364,6 +364,24 @@ def test_encoder_beyond_its_memory(monkeypatch):
         assert own.encode_all([t])[0] == own.pack(own.tokenizer.encode(t, add_special_tokens=False).ids)
 
 
+def test_encoder_beyond_its_memory_calls_nothing_for_a_piece(monkeypatch):
+    import sys
+
+    import public_tokenizers
+
+    monkeypatch.setattr(tokens, "MEMORY", 2)
+    own = tokens.Encoder(public_tokenizers.path(tokens.VOCABULARY), "<u2")
+    own.encode_all(["one two three"])
+    text, calls = "four five six, 'seven' " * 500, []
+    sys.setprofile(lambda frame, event, arg: event == "call" and calls.append(frame.f_code.co_name))
+    try:
+        got = own.encode_all([text])
+    finally:
+        sys.setprofile(None)
+    assert got[0] == own.pack(own.tokenizer.encode(text, add_special_tokens=False).ids)
+    assert len(calls) < 200 and len(own.known) < 10
+
+
 def test_syncmers(docs, none):
     rows = picked(docs).withColumn("text", F.coalesce("text", F.lit(""))).select("doc_id", "text")
     rows = syncmers.with_next(rows, {"fp": syncmers.anchors(F.col("text"))}, ranges=6)
