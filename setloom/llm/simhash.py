@@ -50,6 +50,8 @@ ROUNDS, FURTHER = 8, 4
 CHAINS = 2
 #: Rows whose trie joins one task runs at a time.
 CHUNK = 200_000
+#: Bits at most, and for each node, of the bitmaps by which texts of some nodes are picked where they are read.
+MOST_MARKS, MARKS = 1 << 26, 16
 
 ASCII_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -292,6 +294,12 @@ def first_runs(runs: np.ndarray, least: float, hot: np.ndarray | None = None) ->
     return runs[:many]
 
 
+def added_runs(runs: np.ndarray, least: float, hot: np.ndarray) -> np.ndarray:
+    """Of a text's runs, ascending: those that become first ones as hot ones come last."""
+    first = first_runs(runs, least, hot)
+    return first[(first > runs[len(first) - 1]) & ~held_in(first, hot)] if len(first) else first
+
+
 def held_in(runs: np.ndarray, sorted_runs: np.ndarray) -> np.ndarray:
     if not len(sorted_runs):
         return np.zeros(len(runs), bool)
@@ -392,9 +400,40 @@ def compared(pairs: DataFrame, sets: DataFrame, texts: DataFrame, least: float)
     return found
 
 
+def marked(nodes: DataFrame):
+    """One column of nodes, read twice -> a bitmap of bounded size in which their lowest bits are set, as a broadcast.
+
+    It picks texts where they are read, so no text is shuffled for that. Some nodes that were not asked for pass too.
+    """
+    bits = min(MOST_MARKS, 1 << max(15, (MARKS * nodes.count()).bit_length()))
+    at = nodes.select(F.col(nodes.columns[0]).bitwiseAND(F.lit(bits - 1)).alias("at"))
+    pages = at.select(F.shiftright("at", 15).alias("page"), F.col("at").bitwiseAND(F.lit(32767)).alias("bit")).repartition("page")
+    out = np.zeros(bits // 8, np.uint8)
+    for row in pages.groupBy("page").agg(F.bitmap_construct_agg("bit").alias("b")).collect():  # pages of 4,096 bytes
+        out[row.page * 4096 : (row.page + 1) * 4096] = np.frombuffer(row.b, np.uint8)
+    return nodes.sparkSession.sparkContext.broadcast(out)
+
+
+def passing(batches, marks):
+    """Of record batches whose first column is a node the rows that are marked, one for each node."""
+    done: set = set()
+    for batch in batches:
+        node = batch.column(0).to_numpy(zero_copy_only=False)
+        at = node & np.int64(8 * len(marks.value) - 1)
+        here = np.flatnonzero((marks.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1)
+        keep = []
+        for i, n in zip(here.tolist(), node[here].tolist()):
+            if n not in done:
+                done.add(n)
+                keep.append(i)
+        if keep:
+            yield batch.take(pa.array(keep, pa.int64()))
+
+
 def texts_of(asked: DataFrame, texts: DataFrame) -> DataFrame:
-    """asked: one column of nodes -> node, text, each once."""
-    return texts.join(asked, texts["node"] == asked[asked.columns[0]], "left_semi").select("node", "text").dropDuplicates(["node"])
+    """asked: one column of nodes -> node, text, each once; of some other nodes too."""
+    marks = marked(asked)
+    return texts.select("node", "text").mapInArrow(lambda batches: passing(batches, marks), "node long, text string").dropDuplicates(["node"])
 
 
 def described(texts: DataFrame, shingle: int, least: float) -> DataFrame:
@@ -433,11 +472,20 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return out
 
 
+def has_hot(lists: pa.Array, hot: np.ndarray) -> np.ndarray:
+    """For each list of runs: is one of them hot?"""
+    at = held_in(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), hot)
+    sums = np.concatenate([[0], np.cumsum(at)])
+    ends = np.cumsum(np.fromiter((n or 0 for n in lists.value_lengths().to_pylist()), np.int64, len(lists)))
+    return np.diff(sums[ends], prepend=0) > 0
+
+
 def hot_runs(sets: DataFrame, texts: DataFrame, least: float):
-    """node, firsts -> the hot runs, ascending, as a broadcast, and the nodes (m_id) that have one among their first ones.
+    """node, firsts -> the hot runs, ascending, and the marks of the nodes that have one among their first ones, as broadcasts.
 
-    With some runs moved to the end, others of the same passage become first ones of the texts that share it, so these are
-    counted again, until hardly any is hot: else a long passage deals its texts to one bucket after all.
+    With some runs moved to the end, others of the same passage become first ones of the texts that share it, so those are
+    counted, until hardly any is hot: else a long passage deals its texts to one bucket after all. Only runs that come in
+    place of hot ones count there, as all others are first ones of HOT texts at most.
     """
     context = texts.sparkSession.sparkContext
 
@@ -456,31 +504,24 @@ def hot_runs(sets: DataFrame, texts: DataFrame, least: float):
 
         def touched(batches, known=known):
             for batch in batches:
-                lists = batch.column(1)
-                at = held_in(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), known.value)
-                sums = np.concatenate([[0], np.cumsum(at)])
-                ends = np.cumsum(np.fromiter((n or 0 for n in lists.value_lengths().to_pylist()), np.int64, len(lists)))
-                any_ = np.diff(sums[ends], prepend=0) > 0
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(any_))], ["m_id"])
-
-        def others(batches, known=known):
-            done: set = set()
-            for batch in batches:
-                for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    if node not in done:
-                        done.add(node)
-                        runs = first_runs(run_set(text.as_py()), least, known.value)
-                        runs = runs[~held_in(runs, known.value)].view(np.int64)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(runs), node, np.int64)), pa.array(runs)], ["node", "r"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has_hot(batch.column(1), known.value)))], ["m_id"])
 
         moved = materialize(sets.select("node", "firsts").mapInArrow(touched, "m_id long"), "simhash-moved")
+        marks = marked(moved)
+        release(moved)
         if last or most <= FURTHER * HOT or len(hot) >= MOST_HOT:
-            return known, moved
-        anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").mapInArrow(others, "node long, r long")
+            return known, marks
+
+        def others(batches, known=known, marks=marks):
+            for batch in passing(batches, marks):
+                runs = [added_runs(run_set(text.as_py()), least, known.value) for text in batch.column(1)]
+                node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(r) for r in runs])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(runs).view(np.int64))], ["node", "r"])
+
+        anew = texts.select("node", "text").mapInArrow(others, "node long, r long")
         new, most = counted(anew.repartition("r").distinct(), MOST_HOT - len(hot))
         if not len(new):
-            return known, moved
-        release(moved)
+            return known, marks
         hot = np.concatenate([hot, new])
 
 
@@ -492,29 +533,26 @@ def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     Many runs are held by the very same nodes; of those the first in the order of runs stays, as it is the first that any
     two of its nodes share there.
     """
-    firsts = sets.select("node", "n", F.posexplode("firsts").alias("at", "r"))
-    known, moved = hot_runs(sets, texts, least)
+    known, marks = hot_runs(sets, texts, least)
 
-    def again(batches):
+    def stay(batches):
         for batch in batches:
-            done: dict = {}
-            nodes, out = batch.column(0).to_pylist(), []
-            for node, text in zip(nodes, batch.column(1)):
-                if node not in done:
-                    runs = run_set(text.as_py())
-                    done[node] = len(runs), first_runs(runs, least, known.value).view(np.int64)
-                out.append(done[node])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in out], pa.int32()), pa.array([r for _, r in out], pa.list_(pa.int64()))], ["node", "n", "firsts"])
-
-    # without a hot run among its first ones a text's first runs stay as they are
-    anew = texts.join(moved, texts["node"] == moved["m_id"], "left_semi").select("node", "text").mapInArrow(again, "node long, n int, firsts array<long>")
-    rows = firsts.join(moved, firsts["node"] == moved["m_id"], "left_anti").unionByName(anew.select("node", "n", F.posexplode("firsts").alias("at", "r")))
+            yield batch.filter(pa.array(~has_hot(batch.column(2), known.value)))
+
+    def again(batches):
+        for batch in passing(batches, marks):
+            runs = [run_set(text.as_py()) for text in batch.column(1)]
+            firsts = [first_runs(r, least, known.value).view(np.int64) for r in runs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(r) for r in runs], pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], ["node", "n", "firsts"])
+
+    # without a hot run among its first ones a text's first runs stay as they are, so one that passes for another gives equal rows
+    kind = "node long, n int, firsts array<long>"
+    rows = sets.select("node", "n", "firsts").mapInArrow(stay, kind).unionByName(texts.select("node", "text").mapInArrow(again, kind))
+    rows = rows.select("node", "n", F.posexplode("firsts").alias("at", "r"))
     # dealt before they are gathered, as rows are half as wide as sets of one; a set, as equal texts of several rows are one node
     members = rows.select("r", "node", "n", "at").repartition("r").groupBy("r").agg(F.collect_set(F.struct("node", "n", "at")).alias("m")).filter(F.size("m") > 1).select(F.sort_array("m").alias("m"))
     one = members.groupBy(F.xxhash64("m.node").alias("of"), F.size("m").alias("size")).agg(F.min_by("m", F.col("m")[0]["at"]).alias("m"))
-    out = materialize(one.select("m"), "simhash-buckets")
-    release(moved)
-    return out
+    return materialize(one.select("m"), "simhash-buckets")
 
 
 def alike(known: DataFrame, texts: DataFrame, sure: DataFrame, least: float = ALIKE) -> DataFrame:

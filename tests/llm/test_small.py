@@ -172,6 +172,29 @@ def test_near_copies_of_large_groups_against_all_pairs(spark, monkeypatch, hot,
     assert got == alike_groups(texts, fps)
 
 
+def test_texts_of_many_nodes_are_picked_without_a_join(spark, monkeypatch):
+    """A join shuffles all texts once the nodes are too many to send; what is marked may hold others, but misses none."""
+    texts = spark.range(3000).select(F.xxhash64("id").alias("node"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    texts = texts.unionByName(texts)
+    asked = texts.filter("pmod(node, 7) = 0").select(F.col("node").alias("e_id")).distinct()
+    for most in (simhash.MOST_MARKS, 1 << 15):
+        monkeypatch.setattr(simhash, "MOST_MARKS", most)
+        got = simhash.texts_of(asked, texts)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        rows = {r.node: r.text for r in got.collect()}
+        assert got.count() == len(rows) < 1000
+        assert {r.e_id for r in asked.collect()} <= set(rows) and set(rows.items()) <= {(r.node, r.text) for r in texts.collect()}
+
+
+def test_further_rounds_count_runs_that_come_in_place_of_hot_ones():
+    rng = np.random.default_rng(5)
+    runs = np.unique(rng.integers(0, 1 << 63, 400, dtype=np.uint64))
+    for hot in (runs[:0], runs[3:30], runs[::2], runs):
+        before, after = simhash.first_runs(runs, 0.8), simhash.first_runs(runs, 0.8, hot)
+        assert set(simhash.added_runs(runs, 0.8, hot)) == set(after) - set(before) - set(hot)
+    assert len(simhash.added_runs(runs[:0], 0.8, runs)) == 0
+
+
 def test_pairs_of_near_copies_follow_their_number(spark, monkeypatch):
     """Edited copies of one text are compared with the text, not each with each, though all its runs are common."""
     monkeypatch.setattr(simhash, "HOT", 15)
