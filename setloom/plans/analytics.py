@@ -49,8 +49,8 @@ def kmers(docs: DataFrame, k: int, text: str | Column = "text", key: str = "doc_
     return docs.select(key, F.posexplode(bound(chars, grams)).alias("pos", "kmer"))
 
 
-#: Places a task counts k-mers of at a time.
-PLACES = 1 << 23
+#: Places a task counts k-mers of at a time; k-mers it holds before it adds up equal ones.
+PLACES, ROWS = 1 << 23, 1 << 21
 
 
 def ranked_windows(codes: np.ndarray, k: int, letters: int) -> np.ndarray:
@@ -93,17 +93,47 @@ def counted_kmers(points: np.ndarray, left: np.ndarray, k: int) -> pa.RecordBatc
     return pa.RecordBatch.from_arrays([kmer, pa.array(cnt, pa.int64())], ["kmer", "cnt"])
 
 
+def added_up(batches, rows: int):
+    """kmer, cnt of one task -> the same with few rows a k-mer: equal ones are added up whenever so many rows are held."""
+
+    def summed():
+        table = pa.Table.from_batches(held).group_by("kmer").aggregate([("cnt", "sum")]).select(["kmer", "cnt_sum"])
+        return table.rename_columns(["kmer", "cnt"]).combine_chunks().to_batches()
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            held = summed()
+            n = sum(b.num_rows for b in held)
+            if n >= rows // 2:  # mostly distinct: out, to keep memory bounded
+                yield from held
+                held, n = [], 0
+    if held:
+        yield from summed()
+
+
 def kmer_counts(docs: DataFrame, k: int, text: str | Column = "text", key: str = "doc_id") -> DataFrame:
-    """(kmer, cnt) of all substrings of k characters; a task counts those of millions of places before any becomes a row."""
+    """(kmer, cnt) of all substrings of k characters; a task counts those of millions of places before any becomes a row.
+
+    Equal ones of all its places are added up in the task, so its rows follow the kinds of k-mers, not its share of the text.
+    """
 
     def points_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Code points of texts of UTF-8 in one row, and how many of its text each still has."""
         one = [np.frombuffer(t.decode("utf-8", "replace").encode("utf-32-le"), np.uint32) for t in texts]
         sizes = np.array([len(p) for p in one], np.int64)
         points = np.concatenate(one)
-        return points, np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))
+        ends = np.cumsum(sizes).astype(np.int32 if len(points) < 1 << 31 else np.int64)
+        left = np.repeat(ends, sizes)
+        left -= np.arange(len(points), dtype=left.dtype)
+        return points, left
 
     def run(batches):
+        yield from added_up(blocks(batches), ROWS)
+
+    def blocks(batches):
         held, n = [], 0
         for batch in batches:
             for value in batch.column(0):

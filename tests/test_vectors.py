@@ -137,6 +137,20 @@ def test_kmers_become_rows_only_when_counted():
     assert got == [{"kmer": "aaaaa", "cnt": 99_996}]
 
 
+def test_a_task_adds_up_the_kmers_of_all_its_places():
+    """Rows that leave a task follow the kinds of its k-mers, not its share of the text."""
+    import pyarrow as pa
+
+    def batch(kmers, cnt):
+        return pa.RecordBatch.from_arrays([pa.array(kmers, pa.string()), pa.array([cnt] * len(kmers), pa.int64())], ["kmer", "cnt"])
+
+    few = list(analytics.added_up((batch(["ab", "bc", "\U0001f600"], i) for i in range(100)), 10))
+    assert sorted((r["kmer"], r["cnt"]) for b in few for r in b.to_pylist()) == [("ab", 4950), ("bc", 4950), ("\U0001f600", 4950)]
+    many = [b.num_rows for b in analytics.added_up((batch([f"{i}-{j}" for j in range(4)], 1) for i in range(100)), 10)]
+    assert sum(many) == 400 and max(many) <= 13
+    assert list(analytics.added_up(iter([]), 10)) == []
+
+
 def test_kmer_histogram_makes_no_row_for_each_place(spark):
     docs = spark.createDataFrame([(1, "ababab"), (2, "abc"), (3, None)], "doc_id long, text string")
     got = analytics.kmer_histogram(docs, 2)
