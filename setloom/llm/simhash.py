@@ -294,10 +294,10 @@ def first_runs(runs: np.ndarray, least: float, hot: np.ndarray | None = None) ->
     return runs[:many]
 
 
-def added_runs(runs: np.ndarray, least: float, hot: np.ndarray) -> np.ndarray:
-    """Of a text's runs, ascending: those that become first ones as hot ones come last."""
-    first = first_runs(runs, least, hot)
-    return first[(first > runs[len(first) - 1]) & ~held_in(first, hot)] if len(first) else first
+def added_runs(runs: np.ndarray, least: float, hot: np.ndarray, before: np.ndarray | None = None) -> np.ndarray:
+    """Of a text's runs, ascending: those that become first ones as hot ones come last, and were none while only those before did."""
+    first, old = first_runs(runs, least, hot), np.sort(first_runs(runs, least, before))
+    return first[~held_in(first, old) & ~held_in(first, hot)]
 
 
 def held_in(runs: np.ndarray, sorted_runs: np.ndarray) -> np.ndarray:
@@ -485,44 +485,63 @@ def hot_runs(sets: DataFrame, texts: DataFrame, least: float):
 
     With some runs moved to the end, others of the same passage become first ones of the texts that share it, so those are
     counted, until hardly any is hot: else a long passage deals its texts to one bucket after all. Only runs that come in
-    place of hot ones count there, as all others are first ones of HOT texts at most.
+    place of hot ones count there, as all others are first ones of HOT texts at most. A run that has become a first one of a
+    text stays one until it is hot, so each is made and counted once: a round reads the texts that a new hot run moves.
     """
     context = texts.sparkSession.sparkContext
 
-    def counted(runs: DataFrame, room: int) -> tuple[np.ndarray, int]:
-        """Hot ones of node, r, and how many nodes the most frequent has."""
-        counts = materialize(runs.groupBy("r").agg(F.count("*").alias("count")).filter(F.col("count") > HOT), "simhash-hot-runs")
+    def taken(counts: DataFrame, room: int) -> tuple[np.ndarray, int]:
+        """Hot ones of r, count, ascending, and how many nodes the most frequent has."""
         new = np.array([r.r for r in most_frequent(counts, room).toLocalIterator()], np.int64).view(np.uint64)
-        most = counts.agg(F.max("count")).first()[0] or 0
-        release(counts)
-        return new, most
+        return np.sort(new), counts.agg(F.max("count")).first()[0] or 0
 
-    hot, most = counted(sets.select(F.explode("firsts").alias("r")), MOST_HOT)
+    def counted(lists: DataFrame) -> DataFrame:
+        return lists.select(F.explode("firsts").alias("r")).groupBy("r").agg(F.count("*").alias("count"))
+
+    counts = materialize(counted(sets).filter(F.col("count") > HOT), "simhash-hot-runs")
+    new, most = taken(counts, MOST_HOT)
+    release(counts)
+    hot, before, moved, added, counts = new, context.broadcast(new[:0]), [], [], None
     for last in [False] * ROUNDS + [True]:
-        hot = np.sort(hot)
-        known = context.broadcast(hot)
+        known, fresh = context.broadcast(np.sort(hot)), context.broadcast(new)
 
-        def touched(batches, known=known):
+        def touched(batches, fresh=fresh):
             for batch in batches:
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has_hot(batch.column(1), known.value)))], ["m_id"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(has_hot(batch.column(1), fresh.value)))], ["m_id"])
 
-        moved = materialize(sets.select("node", "firsts").mapInArrow(touched, "m_id long"), "simhash-moved")
-        marks = marked(moved)
-        release(moved)
+        lists = sets.select("node", "firsts")
+        for a in added:
+            lists = lists.unionByName(a)
+        moved.append(materialize(lists.mapInArrow(touched, "m_id long"), "simhash-moved"))
         if last or most <= FURTHER * HOT or len(hot) >= MOST_HOT:
-            return known, marks
+            break
+        marks = marked(moved[-1])
 
-        def others(batches, known=known, marks=marks):
+        def others(batches, known=known, before=before, marks=marks):
             for batch in passing(batches, marks):
-                runs = [added_runs(run_set(text.as_py()), least, known.value) for text in batch.column(1)]
-                node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(r) for r in runs])
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(runs).view(np.int64))], ["node", "r"])
-
-        anew = texts.select("node", "text").mapInArrow(others, "node long, r long")
-        new, most = counted(anew.repartition("r").distinct(), MOST_HOT - len(hot))
+                runs = [added_runs(run_set(text.as_py()), least, known.value, before.value).view(np.int64) for text in batch.column(1)]
+                rows = pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int64()))], ["node", "firsts"])
+                yield rows.filter(pa.array([len(r) > 0 for r in runs], pa.bool_()))
+
+        anew = texts.select("node", "text").mapInArrow(others, "node long, firsts array<long>").dropDuplicates(["node"])
+        added.append(materialize(anew, "simhash-added"))
+        every = counted(added[-1])
+        if counts is not None:
+            every = every.unionByName(counts.filter(F.col("count") <= HOT)).groupBy("r").agg(F.sum("count").alias("count"))
+        old, counts = counts, materialize(every, "simhash-counts")
+        release(*[] if old is None else [old])
+        above = counts.filter(F.col("count") > HOT)
+        above.written_to = counts.written_to
+        new, most = taken(above, MOST_HOT - len(hot))
         if not len(new):
-            return known, marks
-        hot = np.concatenate([hot, new])
+            break
+        hot, before = np.concatenate([hot, new]), known
+    nodes = moved[0]
+    for m in moved[1:]:
+        nodes = nodes.unionByName(m)
+    marks = marked(nodes)
+    release(*moved, *added, *[] if counts is None else [counts])
+    return known, marks
 
 
 def shared_runs(sets: DataFrame, texts: DataFrame, least: float) -> DataFrame:

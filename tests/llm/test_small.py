@@ -195,6 +195,44 @@ def test_further_rounds_count_runs_that_come_in_place_of_hot_ones():
     assert len(simhash.added_runs(runs[:0], 0.8, runs)) == 0
 
 
+def test_a_run_that_comes_in_place_of_a_hot_one_is_counted_once(spark, monkeypatch):
+    """Over several rounds of hot runs each text's further runs are made once, and the hot runs are those of whole counts."""
+    monkeypatch.setattr(simhash, "HOT", 20)
+    monkeypatch.setattr(simhash, "FURTHER", 1)
+    monkeypatch.setattr(simhash, "ROUNDS", 20)
+    rng = np.random.default_rng(12)
+    texts = []
+    for size in (40, 90):
+        for i in range(70):
+            own = [f"o{size}x{i}x{x}" for x in range(rng.integers(10, 200))]
+            texts.append(" ".join([f"p{size}x{x}" for x in range(size - rng.integers(0, size // 2))] + own))
+    runs = [simhash.run_set(t) for t in texts]
+    at_first = [simhash.first_runs(r, 0.8) for r in runs]
+    hot, rounds = np.array([], np.uint64), 0
+    while True:  # all further first runs of all texts are counted anew
+        firsts = [np.setdiff1d(simhash.first_runs(r, 0.8, hot), np.union1d(f, hot)) for r, f in zip(runs, at_first)] if rounds else at_first
+        each, n = np.unique(np.concatenate(firsts), return_counts=True)
+        if not (n > 20).any():
+            break
+        hot, rounds = np.union1d(hot, each[n > 20]), rounds + 1
+    made, materialize = [], simhash.materialize
+
+    def kept(df, tag):
+        out = materialize(df, tag)
+        made.extend([(r.node, x) for r in out.collect() for x in r.firsts] if tag == "simhash-added" else [])
+        return out
+
+    monkeypatch.setattr(simhash, "materialize", kept)
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string").repartition(5)
+    rows = rows.unionByName(rows.filter("node % 3 = 0"))
+    sets = spark.createDataFrame([(i, simhash.first_runs(r, 0.8).view(np.int64).tolist()) for i, r in enumerate(runs)], "node long, firsts array<long>")
+    got, _ = simhash.hot_runs(sets, rows, 0.8)
+    assert 3 < rounds <= 20 and got.value.tolist() == hot.tolist()
+    left = {(i, x) for i, (r, f) in enumerate(zip(runs, at_first)) for x in np.setdiff1d(simhash.first_runs(r, 0.8, hot), np.union1d(f, hot)).view(np.int64).tolist()}
+    last = set(hot.view(np.int64).tolist())
+    assert len(made) == len(set(made)) and {(i, x) for i, x in made if x not in last} == left
+
+
 def test_pairs_of_near_copies_follow_their_number(spark, monkeypatch):
     """Edited copies of one text are compared with the text, not each with each, though all its runs are common."""
     monkeypatch.setattr(simhash, "HOT", 15)
